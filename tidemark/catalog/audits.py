@@ -90,7 +90,7 @@ def j9(spark, d):
         """SELECT class, count(*) AS items, count(DISTINCT group_id) AS groups,
              count(*) FILTER (WHERE keep) AS kept_items,
              count(DISTINCT CASE WHEN keep THEN group_id END) AS kept_groups,
-             round(coalesce(sum(CASE WHEN keep THEN duration END), 0) / 3600.0, 6) AS kept_hours
+             floor((coalesce(sum(CASE WHEN keep THEN duration END), 0) / 3600.0) * 1e6 + 0.5) / 1e6 AS kept_hours
            FROM items GROUP BY class""",
         "items",
     ),

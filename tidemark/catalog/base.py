@@ -35,8 +35,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def six(value):
-    """Six decimals, so that the order of a floating sum cannot show."""
-    return F.round(value, 6)
+    """Six decimals, so that the order of a floating sum cannot show.
+
+    Spelled out, because engines differ in how ``round`` treats a tie.
+    """
+    return F.floor(value * 1e6 + 0.5) / 1e6
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -146,6 +149,8 @@ def document_items(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- predictions
 N_FOLDS, REPEATS, SEED = 5, 3, 1234
+# Scores are whole multiples of 1 / GRID, so a mean over windows is exact in any order.
+GRID = 1 << 20
 # model -> (points added to the true class, hears the signal, repeats)
 MODELS = {
     "a": (400, True, REPEATS),
@@ -156,30 +161,28 @@ MODELS = {
 }
 
 
-def _probs(number, bonus):
-    """Class scores from six hex digits each of one digest; raw points, then shares."""
-    raw = F.array(
-        *[
-            hex_number(number, 1 + 6 * k, 6) % 1000
-            + F.when(F.col("label") == k, bonus).otherwise(F.lit(0))
-            + 1
-            for k in range(len(SEGMENTS))
-        ]
-    )
-    return raw
-
-
 def with_scores(df: DataFrame, *keys: str) -> DataFrame:
-    """Add ``probs`` for the model named in ``model``, drawn from the digest of the keys."""
+    """Add ``probs`` for the model named in ``model``: twelve bits of a digest per class,
+    plus the model's points for the true class, as shares of their sum."""
     bonus = F.lit(0)
     for model, (points, _, _) in MODELS.items():
         bonus = F.when(F.col("model") == model, F.lit(points)).otherwise(bonus)
-    raw = df.withColumn("__raw", _probs(digest(*[F.col(k) for k in keys]), bonus))
-    total = F.aggregate("__raw", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    drawn = df.withColumn("__bits", hex_number(digest(*[F.col(k) for k in keys]), 1, 15))
+    classes = range(len(SEGMENTS))
+    raw = drawn.withColumns(
+        {
+            f"__r{k}": F.shiftright("__bits", 12 * k).bitwiseAND(4095) % 1000
+            + F.when(F.col("label") == k, bonus).otherwise(0)
+            + 1
+            for k in classes
+        }
+    )
+    total = sum((F.col(f"__r{k}") for k in classes[1:]), F.col("__r0"))
+    shares = [F.floor(F.col(f"__r{k}") * GRID / F.col("__total")) / GRID for k in classes]
     return (
         raw.withColumn("__total", total)
-        .withColumn("probs", F.transform("__raw", lambda x: x / F.col("__total")))
-        .drop("__raw", "__total")
+        .withColumn("probs", F.array(*shares))
+        .drop("__bits", "__total", *[f"__r{k}" for k in classes])
     )
 
 
@@ -203,7 +206,9 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
     folds = item_test_folds(kept_items(spark, folder), n_folds=N_FOLDS, repeats=REPEATS, seed=SEED)
     scored = with_scores(model_runs(folds), "model", "repeat", "item_id")
-    return scored.withColumn("prediction", predicted_class(F.col("probs")))
+    # Never null, so no null filter on it is pushed below the draws and repeats them.
+    never_null = F.coalesce(predicted_class(F.col("probs")), F.lit(-1))
+    return scored.withColumn("prediction", never_null)
 
 
 def window_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,16 +228,13 @@ def h(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {joined})), 1, 8))::BIGINT"
 
 
-def _hex(k: int) -> str:
-    return f"('0x' || substr(digest, {1 + 6 * k}, 6))::BIGINT"
-
-
-
 _POINTS = " ".join(f"WHEN '{m}' THEN {points}" for m, (points, _, _) in MODELS.items())
 _RAW = ", ".join(
-    f"{_hex(k)} % 1000 + CASE WHEN label = {k} THEN bonus ELSE 0 END + 1 AS r{k}" for k in range(5)
+    f"((bits >> {12 * k}) & 4095) % 1000 + CASE WHEN label = {k} THEN bonus ELSE 0 END + 1 AS r{k}" for k in range(5)
+)
+_PROBS = ", ".join(
+    f"floor(r{k} * {GRID} / (r0 + r1 + r2 + r3 + r4)::DOUBLE) / {GRID} AS p{k}" for k in range(5)
 )
-_PROBS = ", ".join(f"r{k} / (r0 + r1 + r2 + r3 + r4)::DOUBLE AS p{k}" for k in range(5))
 _ARGMAX = "CASE " + " ".join(
     f"WHEN p{k} = greatest(p0, p1, p2, p3, p4) THEN {k}" for k in range(5)
 ) + " END"
@@ -243,7 +245,8 @@ def _scored(source: str, keys: str) -> str:
     return f"""
     SELECT *, {_PROBS} FROM (
       SELECT *, {_RAW} FROM (
-        SELECT *, CASE model {_POINTS} END AS bonus, md5(concat_ws('|', {keys})) AS digest
+        SELECT *, CASE model {_POINTS} END AS bonus,
+          ('0x' || substr(md5(concat_ws('|', {keys})), 1, 15))::BIGINT AS bits
         FROM {source}))"""
 
 

@@ -315,8 +315,8 @@ def m3(spark, d):
 @query(
     "M4_class_weights",
     sql(
-        """SELECT repeat, fold, label, round(sum(n) OVER (PARTITION BY repeat, fold)
-              / (5 * n)::DOUBLE, 6) AS weight
+        """SELECT repeat, fold, label, floor((sum(n) OVER (PARTITION BY repeat, fold)
+              / (5 * n)::DOUBLE) * 1e6 + 0.5) / 1e6 AS weight
            FROM (SELECT repeat, fold, label, count(*) AS n FROM item_parts
                  WHERE part = 'train' GROUP BY ALL)""",
         "item_parts",

@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -66,11 +67,11 @@ def _where_defined(function, first: pd.Series, degrees: pd.Series) -> pd.Series:
     return result.astype(object).where(fine, None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_tail(t: pd.Series, degrees: pd.Series) -> pd.Series:
     return _where_defined(tail, t, degrees)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, degrees: pd.Series) -> pd.Series:
     return _where_defined(quantile, p, degrees)
