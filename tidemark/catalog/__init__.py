@@ -4,6 +4,6 @@ Importing the modules below fills ``QUERIES`` and ``ORACLES``.
 """
 
 from tidemark.catalog.base import ORACLES, QUERIES
-from tidemark.catalog import audits, comparisons, scores, splits, texts  # noqa: F401
+from tidemark.catalog import audits, comparisons, models, scores, signals, splits, texts  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import digest, hex_number
 from tidemark.functions.notes import Vocabulary
 from tidemark.operators.items import label_index, with_drop_reason
+from tidemark.operators.ordered import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -211,6 +212,11 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("prediction", never_null)
 
 
+def stored_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """The predictions as a stored result set, for queries that read them more than once."""
+    return durable(predictions(spark, folder))
+
+
 def window_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Window predictions: one to four windows per item."""
     from tidemark.operators.splits import item_test_folds

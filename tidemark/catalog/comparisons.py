@@ -19,9 +19,10 @@ from tidemark.catalog.base import (
     rounded,
     six,
     sql,
+    stored_predictions,
     table,
 )
-from tidemark.catalog.scores import plain_metrics, summary
+from tidemark.catalog.scores import plain_metrics
 from tidemark.functions.hashing import stable_hash
 from tidemark.functions.student import t_quantile, t_tail
 from tidemark.operators import context, families, tables, uncertainty
@@ -108,15 +109,16 @@ _NUMBERS = ["mean", "control_mean", "margin", "low", "high", "p_value"]
 _MARGINS = ", ".join(f"{r6(n)} AS {n}" for n in _NUMBERS)
 
 
-def main_families(spark, d):
-    """The models of this corpus as one family: their names come from the predictions."""
-    names = predictions(spark, d).select(F.col("model").alias("name")).distinct()
+def main_families(metrics):
+    """The models of this corpus as one family: their names come from the results."""
+    names = metrics.select(F.col("model").alias("name")).distinct()
     return families.discover(names, list(MODELS), "meta", LANGS)
 
 
 def paired(spark, d):
-    pairs = families.pairs_with_control(main_families(spark, d))
-    return uncertainty.shared_folds(uncertainty.fold_scores(plain_metrics(spark, d)), pairs)
+    metrics = plain_metrics(spark, d)
+    pairs = families.pairs_with_control(main_families(metrics))
+    return uncertainty.shared_folds(uncertainty.fold_scores(metrics), pairs)
 
 
 @query(
@@ -207,8 +209,9 @@ def p12(spark, d):
     sql(f"SELECT family, model, control, {_MARGINS}, agreeing, folds FROM declared_margins", "declared_margins"),
 )
 def u10(spark, d):
-    pairs = families.pairs_with_control(main_families(spark, d))
-    return rounded(tables.family_margins(pairs, plain_metrics(spark, d)), *_NUMBERS)
+    metrics = plain_metrics(spark, d)
+    pairs = families.pairs_with_control(main_families(metrics))
+    return rounded(tables.family_margins(pairs, metrics), *_NUMBERS)
 
 
 @query(
@@ -221,7 +224,8 @@ def u10(spark, d):
     ),
 )
 def u12(spark, d):
-    return families.strongest_floor(main_families(spark, d), summary(spark, d), SILENT)
+    metrics = plain_metrics(spark, d)
+    return families.strongest_floor(main_families(metrics), summarise_folds(metrics), SILENT)
 
 
 @query(
@@ -229,8 +233,8 @@ def u12(spark, d):
     sql(f"SELECT family, model, control AS floor, {_MARGINS}, agreeing, folds FROM every_margins", "every_margins"),
 )
 def u14(spark, d):
-    metrics = durable(plain_metrics(spark, d))
-    seen = tables.overview(main_families(spark, d), metrics, summarise_folds(metrics), SILENT)
+    metrics = plain_metrics(spark, d)
+    seen = tables.overview(main_families(metrics), metrics, summarise_folds(metrics), SILENT)
     return rounded(seen, *_NUMBERS)
 
 
@@ -286,7 +290,7 @@ _INTERVAL = ", ".join(f"{r6(n)} AS {n}" for n in _BOUNDS)
 
 
 def first_repeat(spark, d):
-    return predictions(spark, d).filter("repeat = 0")
+    return durable(predictions(spark, d).filter("repeat = 0"))
 
 
 @query(
@@ -380,7 +384,7 @@ def u7(spark, d):
     sql(f"SELECT model, {_INTERVAL}, groups FROM group_id_interval", "group_id_interval"),
 )
 def u11(spark, d):
-    found = tables.family_intervals(predictions(spark, d), K, resamples=RESAMPLES, seed=SEED)
+    found = tables.family_intervals(first_repeat(spark, d), K, resamples=RESAMPLES, seed=SEED)
     return rounded(found, *_BOUNDS)
 
 
@@ -571,7 +575,7 @@ def j5(spark, d):
     ),
 )
 def u15(spark, d):
-    found = tables.ambiguity(predictions(spark, d), outcomes(spark, d), K)
+    found = tables.ambiguity(stored_predictions(spark, d), outcomes(spark, d), K)
     return rounded(found, "macro_f1_mean", "macro_f1_std")
 
 
@@ -590,7 +594,7 @@ SUBSETS = ["site unique to a class", "site shared by classes", "site not recorde
     ),
 )
 def u16(spark, d):
-    found = tables.ambiguity(predictions(spark, d), outcomes(spark, d), K)
+    found = tables.ambiguity(stored_predictions(spark, d), outcomes(spark, d), K)
     matrix = tables.ambiguity_matrix(found, SUBSETS)
     return matrix.select("model", *[six(F.col(f"`{s}`")).alias(s) for s in SUBSETS])
 
@@ -598,9 +602,10 @@ def u16(spark, d):
 @query("U17_margin_report")
 def u17(spark, d):
     """Every table of the report as (table, line) rows."""
+    rows = stored_predictions(spark, d)
     built = report.build(
-        predictions(spark, d),
-        main_families(spark, d),
+        rows,
+        main_families(rows),
         SEGMENTS,
         SILENT,
         outcomes(spark, d),

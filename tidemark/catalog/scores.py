@@ -11,9 +11,11 @@ from tidemark.catalog.base import (
     query,
     rounded,
     sql,
+    stored_predictions,
     window_predictions,
 )
 from tidemark.operators import scoring
+from tidemark.operators.ordered import durable
 from tidemark.operators.scoring import SPLIT
 
 K = len(SEGMENTS)
@@ -119,8 +121,8 @@ add_cte(
 
 
 def plain_metrics(spark, d):
-    """Count metrics of every model on every split."""
-    return scoring.score_folds(predictions(spark, d), SEGMENTS, ranking=False)
+    """Count metrics of every model on every split, stored: a few rows per split."""
+    return durable(scoring.score_folds(predictions(spark, d), SEGMENTS, ranking=False))
 
 
 def summary(spark, d):
@@ -198,13 +200,13 @@ def _ranking(metric: str) -> str:
 
 @query("G5_roc_auc", _ranking("roc_auc_ovr_macro"))
 def g5(spark, d):
-    ranked = scoring.ranking_metrics(predictions(spark, d), KEYS, K)
+    ranked = scoring.ranking_metrics(stored_predictions(spark, d), KEYS, K)
     return rounded(ranked.drop("average_precision_macro"), "roc_auc_ovr_macro")
 
 
 @query("G6_average_precision", _ranking("average_precision_macro"))
 def g6(spark, d):
-    ranked = scoring.ranking_metrics(predictions(spark, d), KEYS, K)
+    ranked = scoring.ranking_metrics(stored_predictions(spark, d), KEYS, K)
     return rounded(ranked.drop("roc_auc_ovr_macro"), "average_precision_macro")
 
 
@@ -213,7 +215,7 @@ def g6(spark, d):
     sql(f"SELECT {_KEYS}, metric, floor((value) * 1e6 + 0.5) / 1e6 AS value FROM clip_metrics", "clip_metrics"),
 )
 def g7(spark, d):
-    return rounded(scoring.score_folds(predictions(spark, d), SEGMENTS), "value")
+    return rounded(scoring.score_folds(stored_predictions(spark, d), SEGMENTS), "value")
 
 
 @query(
@@ -221,7 +223,7 @@ def g7(spark, d):
     sql(f"SELECT {_KEYS}, metric, floor((value) * 1e6 + 0.5) / 1e6 AS value FROM window_metrics", "window_metrics"),
 )
 def g7_windows(spark, d):
-    windows = window_predictions(spark, d).withColumn(
+    windows = durable(window_predictions(spark, d)).withColumn(
         "prediction", scoring.predicted_class(F.col("probs"))
     )
     return rounded(scoring.score_folds(windows, SEGMENTS), "value")

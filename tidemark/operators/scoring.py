@@ -248,21 +248,41 @@ def score_folds(
 ) -> DataFrame:
     """Every metric of every slice as ``(keys, metric, value)``."""
     keys, n_classes = list(keys), len(class_names)
-    counts = confusion_counts(predictions, keys)
-    parts = [long_metrics(count_metrics(counts, keys, n_classes), keys)]
-    table = per_class(counts, keys, class_names)
-    measures = ["precision", "recall", "f1", "support"]
-    named = table.select(*keys, "class", *[F.col(m).cast("double").alias(m) for m in measures])
-    parts.append(
-        named.unpivot([*keys, "class"], measures, "metric", "value").select(
-            *keys, F.concat_ws("_", "metric", "class").alias("metric"), "value"
-        )
+    cells = class_counts(confusion_counts(predictions, keys), keys).withColumn("f1", _f1())
+    total = F.sum("actual")
+    slices = cells.groupBy(*keys).agg(
+        _over(F.sum("correct"), total).alias("accuracy"),
+        (F.sum("f1") / F.lit(float(n_classes))).alias("macro_f1"),
+        _over(F.sum(F.col("f1") * F.col("actual")), total).alias("weighted_f1"),
+        total.cast("double").alias("n_items"),
+        F.map_from_entries(
+            F.collect_list(F.struct("class_index", F.struct("correct", "predicted", "actual", "f1")))
+        ).alias("__cells"),
     )
+    # One slice is one row with a short array of metrics: a single pass over the rows.
+    entries = [
+        F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+        for name in (*COUNT_METRICS, "n_items")
+    ]
+    for index, name in enumerate(class_names):
+        cell = F.try_element_at("__cells", F.lit(index))
+        measures = {
+            "precision": _over(cell["correct"], cell["predicted"]),
+            "recall": _over(cell["correct"], cell["actual"]),
+            "f1": cell["f1"],
+            "support": cell["actual"].cast("double"),
+        }
+        entries += [
+            F.struct(
+                F.lit(f"{measure}_{name}").alias("metric"),
+                F.coalesce(value, F.lit(0.0)).alias("value"),
+            )
+            for measure, value in measures.items()
+        ]
+    result = slices.select(*keys, F.inline(F.array(*entries)))
     if ranking:
-        parts.append(long_metrics(ranking_metrics(predictions, keys, n_classes), keys))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+        ranked = long_metrics(ranking_metrics(predictions, keys, n_classes), keys)
+        result = result.unionByName(ranked)
     return result
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import SplitError, require_columns
 from tidemark.functions.hashing import stable_hash
 from tidemark.operators.joins import lookup
-from tidemark.operators.ordered import with_position
+from tidemark.operators.ordered import Ordered
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
@@ -40,15 +40,16 @@ def group_sizes(items: DataFrame) -> DataFrame:
 def ranked_groups(items: DataFrame, n_folds: int) -> DataFrame:
     """Groups with the block they belong to and their place in it."""
     require_columns(items, "item_id", "group_id", "label")
-    rank = with_position(group_sizes(items), ["label"], [("n", False), ("group_id", True)])
-    if rank.limit(n_folds).count() < n_folds:
+    laid = Ordered(group_sizes(items), ["label"], [("n", False), ("group_id", True)])
+    if len(laid.frame.select("group_id").take(n_folds)) < n_folds:
         raise SplitError(f"fewer than {n_folds} groups cannot fill {n_folds} folds")
-    return rank.select(
+    ranked = laid.running(laid.frame, {"rank": ("sum", F.lit(1).cast("bigint"))})
+    return ranked.select(
         "group_id",
         "label",
         "n",
-        F.expr(f"position div {n_folds}").alias("block"),
-        (F.col("position") % n_folds).alias("place"),
+        F.expr(f"(rank - 1) div {n_folds}").alias("block"),
+        ((F.col("rank") - 1) % n_folds).alias("place"),
     )
 
 
