@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import digest, hex_number
 from tidemark.functions.notes import Vocabulary
 from tidemark.operators.items import label_index, with_drop_reason
+from tidemark.operators.joins import spread_out
 from tidemark.operators.ordered import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +197,7 @@ def model_runs(df: DataFrame) -> DataFrame:
         ]
     )
     return (
-        df.select("*", F.inline(runs)).filter(F.col("repeat") < F.col("repeats")).drop("repeats")
+        spread_out(df, "item_id").select("*", F.inline(runs)).filter(F.col("repeat") < F.col("repeats")).drop("repeats")
     )
 
 

@@ -26,7 +26,7 @@ from tidemark.catalog.scores import plain_metrics
 from tidemark.functions.hashing import stable_hash
 from tidemark.functions.student import t_quantile, t_tail
 from tidemark.operators import context, families, tables, uncertainty
-from tidemark.operators.ordered import PART, Ordered, durable
+from tidemark.operators.ordered import PART, Ordered, durable, shared_folder
 from tidemark.operators.scoring import summarise_folds
 from tidemark.plans import report
 from tidemark.plans.registry import DEMO_SPECS, silent_models, spec_table
@@ -694,15 +694,8 @@ def u13(spark, d):
 
 
 # ------------------------------------------------------------------------ result sets
-def shared_folder(spark) -> str:
-    """A new folder beside the cluster's checkpoints."""
-    context_ = spark.sparkContext
-    durable(spark.range(1))
-    return f"{context_._jsc.sc().getCheckpointDir().get()}/results-{uuid.uuid4().hex}"
-
-
 def _stored(spark, d) -> str:
-    path = shared_folder(spark)
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     rows = predictions(spark, d).withColumn("config", F.concat(F.lit("fold"), F.col("fold").cast("string")))
     results.write_items(rows.select("config", "model", "repeat", "item_id", "label", "prediction"), path)
     return path

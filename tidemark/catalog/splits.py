@@ -20,6 +20,7 @@ from tidemark.catalog.base import (
 )
 from tidemark.operators import controls, splits
 from tidemark.operators.items import check_items
+from tidemark.operators.ordered import durable
 
 PLAN = {"n_folds": N_FOLDS, "repeats": REPEATS, "seed": SEED}
 VALIDATION = 5
@@ -350,5 +351,5 @@ add_cte(
     sql("SELECT item_id, repeat, fold, label, prediction, seen FROM looked_up", "looked_up"),
 )
 def m5(spark, d):
-    predicted = controls.lookup_model(item_parts(spark, d), ["code", "site"])
+    predicted = controls.lookup_model(durable(item_parts(spark, d)), ["code", "site"])
     return predicted.select("item_id", "repeat", "fold", "label", "prediction", "seen")

@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 HOT_VALUES = 256
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition a frame into the session's full number of shuffle partitions.
+
+    For use before each row expands into very many: adaptive execution sizes partitions
+    by what is there now, and would leave a small input to one task.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,

@@ -9,9 +9,10 @@ few totals becomes an offset, and the window itself only runs inside a partition
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART = "__part"
@@ -19,35 +20,52 @@ PART = "__part"
 _KINDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the cluster's shared checkpoint folder.
+def shared_folder(session: SparkSession) -> str:
+    """The folder every executor can read, as the session's ``spark.checkpoint.dir`` names it.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that
-    names none gets a folder of its own.
+    Only a local session that names none gets a folder of its own.
     """
-    session = df.sparkSession
     context = session.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-")
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        known = context._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
+    if folder is None and context.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and go on from the written table.
+
+    The lineage ends there, so a lost executor costs a re-read and nothing upstream can
+    come out differently the second time; later plans see the table's real size.
+    """
+    session = df.sparkSession
+    path = f"{shared_folder(session)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 class Ordered:
     """Rows laid out by ``keys`` and then by ``order``, ready for running totals.
 
     ``order`` is a list of ``(column, ascending)``; together with the keys it should
-    identify a row, so aggregate ties away first. Key columns must not be null.
+    identify a row, so aggregate ties away first. A null key fails the job.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]):
         self.keys = list(keys)
         self.order = list(order)
         layout = [F.col(key) for key in self.keys] + self._sorting(False)
+        kinds = dict(df.dtypes)
+        # A null key would drop out of the join with the offsets: refuse it instead.
+        for key in self.keys:
+            fail = F.raise_error(F.lit(f"rows with a null {key} cannot be ordered by it"))
+            df = df.withColumn(key, F.coalesce(F.col(key), fail.cast(kinds[key])))
         self.frame = durable(
             df.repartitionByRange(*layout).withColumn(PART, F.spark_partition_id())
         )

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import lookup
-from tidemark.operators.ordered import Ordered
+from tidemark.operators.ordered import Ordered, durable
 
 COUNT_METRICS = ("accuracy", "macro_f1", "weighted_f1")
 RANKING_METRICS = ("roc_auc_ovr_macro", "average_precision_macro")
 SPLIT = ("model", "repeat", "fold")
+# What a ranked score is for: both metrics, or one of them where classes are absent.
+_BOTH, _AUC, _AP = 0, 1, 2
 
 
 def predicted_class(probs: Column) -> Column:
@@ -30,11 +32,10 @@ def roll_up_windows(
     """Mean window scores per item, then argmax: an item counts once.
 
     Means are partial aggregates, so an item with very many windows is summed where
-    its windows are.
+    its windows are. Group, class and label belong to the item and are part of the key.
     """
     means = [F.avg(F.col("probs")[k]).alias(f"__p{k}") for k in range(n_classes)]
-    carried = [F.min(name).alias(name) for name in ("group_id", "class", "label")]
-    rolled = windows.groupBy(*keys, "item_id").agg(*carried, *means)
+    rolled = windows.groupBy(*keys, "item_id", "group_id", "class", "label").agg(*means)
     probs = F.array(*[F.col(f"__p{k}") for k in range(n_classes)])
     return (
         rolled.withColumn("probs", probs)
@@ -169,69 +170,80 @@ def ranking_metrics(
     fewer it is null, as is the average precision.
     """
     keys = list(keys)
-    mass = F.col(weight) if weight else F.lit(1).cast("bigint")
-    slices = predictions.groupBy(*keys).agg(
-        F.sort_array(F.collect_set("label")).alias("__present"), F.count(F.lit(1)).alias("__rows")
+    mass = F.col(weight) if weight else F.lit(1)
+    classes = range(n_classes)
+    # Slices are few; a number in place of their keys keeps the large rows fixed-width.
+    slices = durable(
+        predictions.groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_set("label")).alias("__present"),
+            F.count(F.lit(1)).alias("__rows"),
+        )
+        .withColumn("__slice", F.monotonically_increasing_id())
     )
+    present = F.col("__present")
     rows = lookup(
-        predictions.select(*keys, "label", "probs", mass.alias("__mass"), "item_id"),
+        predictions.select(
+            *keys,
+            "item_id",
+            "label",
+            mass.cast("bigint").alias("__mass"),
+            *[F.col("probs")[k].alias(f"__p{k}") for k in classes],
+        ),
         slices,
         keys,
         "__rows",
         spread=["item_id"],
-    ).filter(F.size("__present") >= 2)
-
-    present, probs = F.col("__present"), F.col("probs")
-    total = F.aggregate(present, F.lit(0.0), lambda acc, k: acc + F.get(probs, k))
-    renormalised = F.transform(
-        present,
-        lambda k: F.struct(
-            F.lit("auc").alias("kind"),
-            k.alias("k"),
-            F.when(total > 0, F.get(probs, k) / total)
-            .otherwise(F.lit(1.0) / F.size(present))
-            .alias("score"),
-        ),
-    )
-
-    def raw(kind: str) -> Column:
-        return F.transform(
-            present,
-            lambda k: F.struct(
-                F.lit(kind).alias("kind"), k.alias("k"), F.get(probs, k).alias("score")
-            ),
-        )
+    ).filter(F.size(present) >= 2)
 
+    total = F.lit(0.0)
+    for k in classes:
+        total = total + F.when(F.array_contains(present, k), F.col(f"__p{k}")).otherwise(0.0)
+    entries = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.col(f"__p{k}").alias("__p")) for k in classes]
+    )
     every = (F.size(present) == n_classes) & (F.size(present) > 2)
-    entries = F.when(every, raw("both")).otherwise(
-        F.concat(
-            F.when(F.size(present) == 2, F.slice(renormalised, 2, 1)).otherwise(renormalised),
-            raw("ap"),
-        )
+    kinds = F.when(every, F.array(F.lit(_BOTH))).otherwise(F.array(F.lit(_AUC), F.lit(_AP)))
+    spread = rows.select(
+        "__slice",
+        "__present",
+        "label",
+        "__mass",
+        total.alias("__total"),
+        kinds.alias("__kinds"),
+        F.inline(entries),
+    ).filter(F.array_contains(present, F.col("k")))
+    spread = spread.withColumn("kind", F.explode("__kinds")).filter(
+        (F.col("kind") != _AUC) | (F.size(present) > 2) | (F.col("k") == present[1])
+    )
+    share = F.when(F.col("__total") > 0, F.col("__p") / F.col("__total")).otherwise(
+        F.lit(1.0) / F.size(present)
     )
+    score = F.when(F.col("kind") == _AUC, share).otherwise(F.col("__p"))
     mine = F.col("label") == F.col("k")
+    block = ["__slice", "kind", "k"]
     cells = (
-        rows.select(*keys, "label", "__mass", F.inline(entries))
-        .groupBy(*keys, "kind", "k", "score")
+        spread.withColumn("score", score)
+        .groupBy(*block, "score")
         .agg(
             F.sum(F.when(mine, F.col("__mass")).otherwise(0)).alias("pos"),
             F.sum(F.when(mine, 0).otherwise(F.col("__mass"))).alias("neg"),
         )
     )
-    laid = Ordered(cells, [*keys, "kind", "k"], [("score", False)])
+    laid = Ordered(cells, block, [("score", False)])
     ranked = laid.running(
         laid.frame, {"above_pos": ("sum", F.col("pos")), "above_neg": ("sum", F.col("neg"))}
     )
     won = F.sum(F.col("neg") * (F.col("above_pos") - F.col("pos") / 2))
     precise = F.sum(F.col("pos") * F.col("above_pos") / (F.col("above_pos") + F.col("above_neg")))
-    per_label = ranked.groupBy(*keys, "kind", "k").agg(
+    per_label = ranked.groupBy(*block).agg(
         (won / (F.sum("pos") * F.sum("neg"))).alias("auc"), (precise / F.sum("pos")).alias("ap")
     )
-    metrics = per_label.groupBy(*keys).agg(
-        F.avg(F.when(F.col("kind") != "ap", F.col("auc"))).alias(RANKING_METRICS[0]),
-        F.avg(F.when(F.col("kind") != "auc", F.col("ap"))).alias(RANKING_METRICS[1]),
+    metrics = per_label.groupBy("__slice").agg(
+        F.avg(F.when(F.col("kind") != _AP, F.col("auc"))).alias(RANKING_METRICS[0]),
+        F.avg(F.when(F.col("kind") != _AUC, F.col("ap"))).alias(RANKING_METRICS[1]),
     )
-    return slices.select(*keys).join(metrics, keys, "left")
+    return slices.select(*keys, "__slice").join(metrics, "__slice", "left").drop("__slice")
 
 
 def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -21,11 +21,7 @@ TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 def items_from_windows(windows: DataFrame) -> DataFrame:
     """One row per item that produced at least one window."""
-    return windows.groupBy("item_id").agg(
-        F.min("group_id").alias("group_id"),
-        F.min("class").alias("class"),
-        F.min("label").alias("label"),
-    )
+    return windows.select("item_id", "group_id", "class", "label").distinct()
 
 
 def group_sizes(items: DataFrame) -> DataFrame:
@@ -143,7 +139,8 @@ def item_parts(items: DataFrame, **plan) -> DataFrame:
 def rows_for_items(windows: DataFrame, folds: DataFrame) -> DataFrame:
     """Windows of the items in a fold part; items are the join key, not groups."""
     chosen = folds.select("item_id", "repeat", "fold", "part")
-    return windows.join(chosen, "item_id")
+    # Folds repeat every item, so their planned size says little; do not broadcast them.
+    return windows.join(chosen.hint("merge"), "item_id")
 
 
 def leaking_groups(folds: DataFrame) -> DataFrame:
@@ -182,12 +179,13 @@ def check_folds(items: DataFrame, folds: DataFrame, n_splits: int) -> DataFrame:
 def fold_summary(items: DataFrame, parts: DataFrame) -> DataFrame:
     """Items and groups per (repeat, fold, part, class).
 
-    ``parts`` is the group table, so only (group, class) cells are joined.
+    ``parts`` is the group table, so only (group, class) cells are joined, and they
+    are the side that is hashed: the parts repeat every group in every fold.
     """
     cells = items.groupBy("group_id", "class").agg(F.count(F.lit(1)).alias("c"))
     return (
         parts.select("repeat", "fold", "group_id", "part")
-        .join(cells, "group_id")
+        .join(cells.hint("shuffle_hash"), "group_id")
         .groupBy("repeat", "fold", "part", "class")
         .agg(F.sum("c").alias("items"), F.count(F.lit(1)).alias("groups"))
     )

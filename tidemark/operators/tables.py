@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.context import ABSENT, SHARED, UNIQUE
 from tidemark.operators.families import against_strongest, pairs_with_control, strongest_floor
-from tidemark.operators.scoring import confusion_counts, count_metrics
+from tidemark.operators.scoring import count_metrics
 from tidemark.operators.uncertainty import (
     cluster_bootstrap,
     fold_scores,
@@ -45,16 +45,31 @@ def overview(
     return family_margins(pairs, metrics, metric).withColumnRenamed("control", "floor")
 
 
+def packed_outcomes(outcomes: DataFrame) -> DataFrame:
+    """One row per item with its (field, outcome) pairs, as many as there are fields."""
+    return outcomes.groupBy("item_id").agg(
+        F.collect_list(F.struct("field", "outcome")).alias("__outcomes")
+    )
+
+
+def _with_outcomes(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    joined = predictions.join(packed_outcomes(outcomes), "item_id", "left")
+    fail = F.raise_error(
+        F.concat(F.lit("no giveaway outcome for item "), F.col("item_id").cast("string"))
+    )
+    checked = F.when(
+        F.col("__outcomes").isNull(), fail.cast("array<struct<field:string,outcome:string>>")
+    ).otherwise(F.col("__outcomes"))
+    return joined.withColumn("__outcomes", checked)
+
+
 def bucket_predictions(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Each prediction with the giveaway outcome of its item, per field.
 
     A prediction whose item has no outcome fails the job.
     """
-    joined = predictions.join(outcomes, "item_id", "left")
-    fail = F.raise_error(F.concat(F.lit("no giveaway outcome for item "), F.col("item_id").cast("string")))
-    return joined.withColumn(
-        "outcome", F.when(F.col("outcome").isNull(), fail.cast("string")).otherwise(F.col("outcome"))
-    )
+    joined = _with_outcomes(predictions, outcomes)
+    return joined.select(*predictions.columns, F.inline("__outcomes"))
 
 
 def unbucketed(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -69,25 +84,35 @@ def ambiguity(predictions: DataFrame, outcomes: DataFrame, n_classes: int) -> Da
     not per fold. All fields, models and slices are scored in one job.
     """
     slim = predictions.select("model", "repeat", "fold", "item_id", "label", "prediction")
-    bucketed = bucket_predictions(slim, outcomes)
+    # The join lays rows out by item, so gathering an item's few splits moves nothing.
+    by_item = (
+        _with_outcomes(slim, outcomes)
+        .groupBy("item_id", "model")
+        .agg(
+            F.collect_list(F.struct("repeat", "fold", "label", "prediction")).alias("__splits"),
+            F.first("__outcomes").alias("__outcomes"),
+        )
+    )
+    rows = by_item.select("model", "__outcomes", F.posexplode("__splits").alias("at", "split"))
+    rows = rows.select("model", "at", "split.*", F.inline("__outcomes"))
     by = ["field", "model", "outcome"]
     split = [*by, "repeat", "fold"]
-    counts = confusion_counts(bucketed, split)
-    present = counts.groupBy(*by).agg(F.collect_set("label").alias("present"))
-    scored = count_metrics(counts.join(present, by), split, n_classes, scored="present")
+    # An item is distinct in its slice once, at the first of its splits.
+    counts = rows.groupBy(*split, "label", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("fresh")
+    )
+    slices = counts.groupBy(*by).agg(
+        F.collect_set("label").alias("present"), F.sum("fresh").alias("items")
+    )
+    scored = count_metrics(counts.join(slices, by), split, n_classes, scored="present")
     folds = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("macro_f1").alias("macro_f1_mean"),
         F.coalesce(F.stddev_samp("macro_f1"), F.lit(0.0)).alias("macro_f1_std"),
     )
-    items = (
-        bucketed.select(*by, "item_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("items"))
-    )
     words = F.create_map(*[F.lit(x) for pair in SUBSET_WORDS.items() for x in pair])
     return (
-        folds.join(items, by)
-        .join(present, by)
-        .select(
+        folds.join(slices, by).select(
             "field",
             "model",
             F.concat_ws(" ", "field", words[F.col("outcome")]).alias("subset"),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.errors import ComparisonError, require_columns
 from tidemark.functions.hashing import stable_hash
 from tidemark.functions.student import t_quantile, t_tail
-from tidemark.operators.joins import lookup
-from tidemark.operators.ordered import PART, Ordered, with_position
+from tidemark.operators.joins import lookup, spread_out
+from tidemark.operators.ordered import PART, Ordered
 from tidemark.operators.scoring import (
     COUNT_METRICS,
     confusion_counts,
@@ -176,16 +176,18 @@ def describe_margin(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- bootstrap
 def group_index(predictions: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
     """Dense group numbers per slice: ``(keys, group, draw, groups)``."""
-    keys = list(keys)
-    distinct = predictions.select(*keys, group).distinct()
-    placed = with_position(distinct, keys, [(group, True)], "draw")
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("groups"))
-    few = F.when(
-        F.col("groups") < 2,
-        F.raise_error(F.lit("cannot resample over fewer than two groups")).cast("bigint"),
-    ).otherwise(F.col("groups"))
-    sizes = sizes.withColumn("groups", few).withColumn("__n", F.col("groups"))
-    return lookup(placed, sizes, keys, "__n", spread=[group])
+    laid = Ordered(predictions.select(*keys, group).distinct(), keys, [(group, True)])
+    one = ("sum", F.lit(1).cast("bigint"))
+    placed = laid.running(laid.frame, {"__rank": one})
+    placed = laid.running(placed, {"__from": one}, reverse=True)
+    groups = F.col("__rank") + F.col("__from") - 1
+    fail = F.raise_error(F.lit("cannot resample over fewer than two groups"))
+    return placed.select(
+        *keys,
+        group,
+        (F.col("__rank") - 1).alias("draw"),
+        F.when(groups < 2, fail.cast("bigint")).otherwise(groups).alias("groups"),
+    )
 
 
 def draw_groups(numbered: DataFrame, resamples: int, seed: int) -> DataFrame:
@@ -194,9 +196,9 @@ def draw_groups(numbered: DataFrame, resamples: int, seed: int) -> DataFrame:
     The draws depend on the number of groups only, so slices over the same groups
     share them, and each numbered group stands for one draw per resample.
     """
+    one_each = numbered.select("groups", F.col("draw").alias("__d")).distinct()
     return (
-        numbered.select("groups", F.col("draw").alias("__d"))
-        .distinct()
+        spread_out(one_each, "groups", "__d")
         .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .select(
             "groups",
@@ -239,8 +241,10 @@ def cluster_bootstrap(
     if metric in COUNT_METRICS:
         cells = confusion_counts(predictions, [*keys, group])
         cells = cells.join(numbered, [*keys, group])
+        # The draws are the large side, whatever their plan is estimated at: the hash
+        # tables are built from the cells of a partition and nothing is broadcast.
         counts = (
-            draws.join(cells, ["groups", "draw"])
+            draws.join(cells.hint("shuffle_hash"), ["groups", "draw"])
             .groupBy(*keys, "resample", "label", "prediction")
             .agg(F.sum("n").alias("n"))
         )
