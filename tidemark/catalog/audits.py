@@ -114,13 +114,12 @@ def a2(spark, d):
 _PER_GROUP = """
     SELECT class, group_id, count(*) AS items, count(*) FILTER (WHERE keep) AS kept_items,
       arg_min(year, item_id) AS year, arg_min(native_rate, item_id) AS native_rate,
-      round(sum(duration), 4) AS seconds FROM items GROUP BY class, group_id"""
+      floor(sum(duration) * 1e6 + 0.5) / 1e6 AS seconds FROM items GROUP BY class, group_id"""
 
 
 @query("A3_audit_per_group", sql(_PER_GROUP, "items"))
 def a3(spark, d):
-    groups = collection.per_group(items(spark, d))
-    return groups.withColumn("seconds", F.round("seconds", 4))
+    return rounded(collection.per_group(items(spark, d)), "seconds")
 
 
 @query(
