@@ -163,7 +163,8 @@ def descriptors(block, rate, n_fft, hop, filters, n_mfcc: int = 20) -> np.ndarra
     flatness = np.exp(np.log(floored).mean(axis=1, keepdims=True)) / floored.mean(
         axis=1, keepdims=True
     )
-    up = np.where(np.abs(framed(block, n_fft, hop, "edge")) <= AMIN, 0.0, framed(block, n_fft, hop, "edge")) >= 0
+    held = framed(block, n_fft, hop, "edge")
+    up = np.where(np.abs(held) <= AMIN, 0.0, held) >= 0
     crossings = (up[:, :, 1:] != up[:, :, :-1]).sum(axis=2)[:, None] / n_fft
     ends = power.copy()
     ends[:, 0] *= 0.5
