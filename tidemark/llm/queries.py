@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, minhash
+from tidemark.llm import exact_dedup, minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,17 @@ def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_minhash"] = op5_minhash
+
+
+def _vocabulary(name: str) -> str:
+    """Where the vocabulary files of this installation lie; executors have the same files."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+QUERIES["op9_packing"] = op9_packing
