@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, minhash, packing
+from tidemark.llm import exact_dedup, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,10 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_packing"] = op9_packing
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES["op10_quality"] = op10_quality
