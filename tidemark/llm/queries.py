@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, minhash, packing, quality
+from tidemark.llm import exact_dedup, minhash, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op10_quality"] = op10_quality
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
