@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, minhash, packing, quality, toxicity
+from tidemark.llm import exact_dedup, minhash, nearest, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op1_nearest"] = op1_nearest
