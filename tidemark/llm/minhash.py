@@ -241,26 +241,43 @@ def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
         .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
         .filter(100 * F.col("common") >= percent * F.col("n_shingles"))
     )
-    bounded = durable(bounded.select("band", "key", "node", "n_shingles", "bits", "component", "common"))
-    rest = _bucket_pairs(bounded, bounded, floor, percent).distinct()
-    second = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    return first.unionByName(durable(second))
+    bounded = durable(
+        bounded.select("band", "key", "node", "n_shingles", "bits", "component", "common")
+    ).join(classes.select("node", F.col("sketch.bands").alias("bands")), "node")
+    second = _crossing_links(bounded.join(sets, "node"), floor, percent)
+    return first.unionByName(durable(second.distinct()))
 
 
-def _bucket_pairs(left: DataFrame, right: DataFrame, floor: float, percent: int = 0) -> DataFrame:
-    """Pairs of one bucket whose estimate reaches ``floor``, each named low id first.
+def _same_bucket() -> Column:
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
+    return met & (F.col("x.node") < F.col("y.node"))
 
-    With ``percent``, only pairs of different components whose common shingles could
-    reach the threshold. All of it is part of the join's condition.
-    """
+
+def _bucket_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """Pairs of one bucket whose estimate reaches ``floor``, each named low id first."""
     x, y = left.alias("x"), right.alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    met = met & (F.col("x.node") < F.col("y.node"))
-    if percent:
-        most = F.least("x.common", "y.common")
-        met = met & (F.col("x.component") != F.col("y.component"))
-        met = met & _reaches(most, F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
-    met = met & (estimate(F.col("x.bits"), F.col("y.bits")) >= floor)
+    met = _same_bucket() & (estimate(F.col("x.bits"), F.col("y.bits")) >= floor)
+    return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _crossing_links(rows: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Confirmed links between different components of one bucket.
+
+    All of it is the join's condition, so only links are ever rows: the bound from common
+    shingles and the estimate first, then whether this is the first band the two share,
+    and the full sets last.
+    """
+    x, y = rows.alias("x"), rows.alias("y")
+    least = F.least("x.common", "y.common")
+    n_x, n_y = F.col("x.n_shingles"), F.col("y.n_shingles")
+    hopeful = F.col("x.component") != F.col("y.component")
+    hopeful = hopeful & _reaches(least, n_x, n_y, percent)
+    hopeful = hopeful & (estimate(F.col("x.bits"), F.col("y.bits")) >= floor)
+    equal = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)
+    first_met = F.array_position(equal, F.lit(True)) == F.col("x.band") + 1
+    shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    linked = F.when(hopeful, F.when(first_met, _reaches(shared, n_x, n_y, percent)))
+    met = _same_bucket() & F.coalesce(linked, F.lit(False))
     return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
