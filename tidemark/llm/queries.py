@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, minhash, nearest, packing, quality, toxicity
+from tidemark.llm import chat, exact_dedup, minhash, nearest, packing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,63 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_nearest"] = op1_nearest
+
+
+#: A conversation made of control strings, which formatting must keep apart from its own.
+_TRICKY = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(_TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    told = chat.read_chat(chat.format_chat(turns.unionByName(tricky)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return told.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.concat_ws("", lines).cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+QUERIES["op4_chat"] = op4_chat
+# Each turn adds "<s>", its opening and closing strings, and a mark before \\, < and [.
+ORACLES["op4_chat"] = r"""
+WITH told AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(
+           length(regexp_replace(text, '([\\<\[])', '\\\1', 'g')) + 3
+           + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 17 WHEN 'assistant' THEN 9
+                       ELSE 17 + length(regexp_replace(role, '([\\<\[])', '\\\1', 'g')) END
+       ) AS BIGINT) AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, folder, "pages"))
+
+
+QUERIES["op6_warc"] = op6_warc
+ORACLES["op6_warc"] = """
+WITH told AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), sized AS (
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM told
+), grouped AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS winner FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 1000 OR page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM grouped
+"""
