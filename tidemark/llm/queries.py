@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, minhash, nearest, packing, quality, toxicity, warc
+from tidemark.llm import (
+    chat,
+    exact_dedup,
+    licences,
+    minhash,
+    nearest,
+    packing,
+    pieces,
+    quality,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +141,30 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR page_id = winner THEN NULL ELSE winner END AS refers_to
 FROM grouped
 """
+
+
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode every document with dropout, decode the ids, and compare the texts' digests."""
+    model = _vocabulary("piece_bpe_32k.model")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    docs = _table(spark, folder, "documents").select("doc_id", "text", digest.alias("text_sha256"))
+    encoded = pieces.encode_documents(docs, model)
+    told = encoded.withColumn("n_pieces", F.size("ids").cast("bigint")).withColumn("ids_hash", F.xxhash64("ids"))
+    return pieces.decode_documents(told, model).select(
+        "doc_id",
+        "n_pieces",
+        "ids_hash",
+        "text_sha256",
+        (F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")).alias("lossless"),
+    )
+
+
+QUERIES["op7_pieces"] = op7_pieces
+
+
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, folder, "documents"))
+
+
+QUERIES["op8_licences"] = op8_licences
+ORACLES["op8_licences"] = licences.oracle()
