@@ -110,14 +110,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["label", *STATISTICS])
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, sample: int
-) -> DataFrame:
-    """At most ``sample`` rows ``doc_id, text, label``, never from the held-out fold.
-
-    ``docs`` are document rows; the sample is broadcast, as its size is bounded.
-    """
-    known = (
+def labelled_ids(labels: DataFrame, label: str, folds: int, held_out: int, sample: int) -> DataFrame:
+    """At most ``sample`` rows ``doc_id, label``, never from the held-out fold."""
+    return (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .filter(remainder("doc_id", folds) != held_out)
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
@@ -125,12 +120,12 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return docs.join(F.broadcast(known), "doc_id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Fit the trees on a bounded sample of the labelled documents outside the held-out fold."""
-    chosen = labelled_sample(docs, labels, "quality", 5, 0, sample)
+    # The sample is broadcast, as its size is bounded.
+    chosen = docs.join(F.broadcast(labelled_ids(labels, "quality", 5, 0, sample)), "doc_id")
     kinds = ", ".join(f"{name} double" for name in STATISTICS)
     # The bound of the sample bounds what comes to the driver: 20 numbers a row.
     rows = chosen.select("label", "text").mapInArrow(_measured, f"label int, {kinds}").toPandas()

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import labelled_sample
+from tidemark.llm.quality import labelled_ids
 from tidemark.llm.rows import document_rows, remainder
 from tidemark.llm.trees import Forest, fit_forest
-from tidemark.llm.words import buffers, slices
+from tidemark.llm.words import buffers, slices, word_hashes, word_spans
 from tidemark.operators.ordered import durable
 
 #: At most this many labelled documents of each label are used to learn the lexicon.
@@ -43,6 +43,8 @@ ENTRIES = 20_000
 #: Evidence (log-likelihood ratio) an entry needs: a chance of about 1 in 200,000.
 EVIDENCE = 20.0
 THRESHOLD = 0.3
+#: Letters of the longest word the lexicon may list.
+LONGEST = 64
 #: Tokens a worker remembers before it forgets all of them.
 REMEMBERED = 100_000
 #: Lengths of the word beginnings that the lexicon may list, best first.
@@ -63,8 +65,9 @@ _DROP = {True: math.log(0.3), False: math.log(0.001)}
 _LETTER = "a-zß-öø-ÿ"
 _SIGNS = re.escape("".join(STANDS_FOR))
 _WORD = re.compile(rf"[{_LETTER}]+")
-#: Letters and signs in one run, with a sign beside a letter: it could hide a word.
-_MIXED = re.compile(rf"[{_LETTER}{_SIGNS}]*(?:[{_LETTER}][{_SIGNS}]|[{_SIGNS}][{_LETTER}])[{_LETTER}{_SIGNS}]*")
+_RUN = re.compile(rf"[{_LETTER}{_SIGNS}]+")
+#: A sign beside a letter: the run could hide a word.
+_MIXED = re.compile(rf"[{_LETTER}][{_SIGNS}]|[{_SIGNS}][{_LETTER}]")
 _THRICE = re.compile(r"(.)\1\1")
 _AROUND = ".,;:!?*#%&$|\"()[]{}<>-_"
 _CLASSES = 28
@@ -158,35 +161,21 @@ class Restorer:
         if core.isalpha() and not _THRICE.search(core):
             return {core} if core == token or not set(token) & {"$", "!"} else {core, self.word(token)}
         found = set(_WORD.findall(token))
-        found.update(self.word(hit.group()) for hit in _MIXED.finditer(token))
+        found.update(self.word(run) for run in _RUN.findall(token) if _MIXED.search(run))
         found.update(self.word(word) for word in list(found) if _THRICE.search(word))
         return found
 
 
-def tokens_of(text: str) -> set[str]:
-    """The distinct lower-case tokens of a text; single characters in a row are also one."""
-    parts = text.lower().split()
-    found = set(parts)
-    singles = [i for i, part in enumerate(parts) if len(part) == 1]
-    run: list[int] = []
-    for i in [*singles, -1]:
-        if run and i == run[-1] + 1:
-            run.append(i)
-            continue
-        if len(run) >= 3:
-            found.add("".join(parts[k] for k in run))
-        run = [i]
-    return found
-
-
 def _entries(word: str) -> list[str]:
     """What the lexicon may list of a word, best first: itself, and its beginnings."""
+    if len(word) > LONGEST:
+        return []
     return [word, *(word[:n] + "…" for n in STEMS if len(word) > n)]
 
 
 @dataclass
 class Lexicon:
-    """How many distinct words of toxic and of clean texts each entry has met.
+    """How many tokens, distinct within their text, each entry has met in toxic and clean texts.
 
     ``forest`` turns the hits of a text into its score.
     """
@@ -213,78 +202,118 @@ class Lexicon:
 
 
 class Reader:
-    """Turns texts into the numbers that the forest reads; remembers tokens."""
+    """Reads slices of texts; what a token means is worked out once and remembered."""
 
     def __init__(self, model: np.ndarray, lexicon: Lexicon | None = None):
         self.restorer, self.lexicon = Restorer(model), lexicon
-        self.known: dict[str, tuple] = {}
+        self.known: dict[int, tuple] = {}
 
-    def _remember(self, token: str) -> tuple:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        words = self.restorer.token(token)
+    def _meaning(self, token: str) -> tuple:
+        """Without a lexicon the token's words, with one its hits ``(word, entry)``."""
+        words = self.restorer.token(token.lower())
         if self.lexicon is None:
-            found = tuple(words)
-        else:
-            hits = ((word, next((e for e in _entries(word) if self.lexicon.weight(e)), None)) for word in words)
-            found = tuple(hit for hit in hits if hit[1] is not None)
-        self.known[token] = found
-        return found
+            return tuple(words)
+        best = ((word, next((e for e in _entries(word) if self.lexicon.weight(e)), None)) for word in words)
+        return tuple(hit for hit in best if hit[1] is not None)
 
-    def _collected(self, text: str) -> tuple[set, int]:
-        tokens, known = tokens_of(text), self.known
-        found = set()
-        for token in tokens:
-            own = known.get(token)
-            if own is None:
-                own = self._remember(token)
-            if own:
-                found.update(own)
-        return found, len(tokens)
-
-    def words(self, text: str) -> set[str]:
-        return self._collected(text)[0]
-
-    def numbers(self, text: str, label: int | None = None) -> tuple[float, ...]:
-        """Hits, their weights, and the text's length; ``label`` leaves the text's own words out."""
-        hits, size = self._collected(text)
-        own = Counter(entry for word, _ in hits for entry in _entries(word)) if label is not None else {}
-        weights = []
-        for word, entry in hits:
-            if label is not None:
-                less = [(own[e], 0) if label else (0, own[e]) for e in _entries(word)]
-                weights.append(next((w for e, k in zip(_entries(word), less) if (w := self.lexicon.weight(e, k))), 0.0))
-            else:
-                weights.append(self.lexicon.weight(entry))
-        weights = sorted((w for w in weights if w), reverse=True) + [0.0, 0.0]
-        count = len(weights) - 2
-        return (sum(weights), count, weights[0], weights[1], count / max(size, 1), math.log1p(size))
+    def tokens(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """Text and token number of every token, and what each numbered token means.
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        rows = np.array([self.numbers(text or "") for text in texts], dtype=float).reshape(-1, len(NUMBERS))
-        return self.lexicon.forest.score(rows)
+        Single characters in a row are one token more, as letters may be set apart.
+        """
+        starts, ends, first = word_spans(raw, offsets)
+        hashes, _ = word_hashes(raw, offsets)
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        distinct, lead, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, names = self.known, distinct.tolist()
+        for k, name in enumerate(names):
+            if name not in known:
+                at = lead[k]
+                known[name] = self._meaning(raw[starts[at] : ends[at] + 1].tobytes().decode("utf-8"))
+        meaning = [known[name] for name in names]
+        size = ends - starts + 1
+        single = (size == 1) | ((size == 2) & (raw[starts] >= 0xC2) & (raw[starts] < 0xE0))
+        go_on = single[1:] & single[:-1] & (owner[1:] == owner[:-1])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], go_on, [False]]).astype(np.int8)))
+        texts, numbers = [], []
+        for low, high in zip(edge[::2], edge[1::2]):  # tokens low to high, both included
+            if high - low >= 2:
+                letters = b"".join(raw[starts[k] : ends[k] + 1].tobytes() for k in range(low, high + 1))
+                texts.append(owner[low])
+                numbers.append(len(meaning))
+                meaning.append(self._meaning(letters.decode("utf-8")))
+        if texts:
+            owner, which = np.concatenate([owner, texts]), np.concatenate([which, numbers])
+        return owner, which, meaning
+
+    def entry_counts(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> dict[str, list[int]]:
+        """Of each entry, how many tokens of clean and of toxic texts it has; "" counts all."""
+        owner, which, meaning = self.tokens(raw, offsets)
+        width = max(len(meaning), 1)
+        text, token = np.divmod(np.unique(owner * width + which), width)
+        toxic = np.bincount(token, label[text], width).astype(np.int64).tolist()
+        both = np.bincount(token, minlength=width).tolist()
+        counts: dict[str, list[int]] = {"": [0, 0]}
+        for words, n, bad in zip(meaning, both, toxic):
+            for word in words:
+                for entry in ("", *_entries(word)):
+                    held = counts.setdefault(entry, [0, 0])
+                    held[0] += n - bad
+                    held[1] += bad
+        return counts
+
+    def numbers(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """A row of ``NUMBERS`` for each text; ``label`` leaves each text's own words out."""
+        owner, which, meaning = self.tokens(raw, offsets)
+        n = len(offsets) - 1
+        size = np.bincount(owner, minlength=n)
+        rows = np.zeros((n, len(NUMBERS)))
+        rows[:, 5] = np.log1p(size)
+        telling = np.array([bool(m) for m in meaning], dtype=bool)
+        hits: dict[int, set[int]] = {}
+        if len(owner):
+            at = np.flatnonzero(telling[which])
+            for text, token in zip(owner[at].tolist(), which[at].tolist()):
+                hits.setdefault(text, set()).add(token)
+        for text, tokens in hits.items():
+            found = {word: entry for token in tokens for word, entry in meaning[token]}
+            if label is None:
+                weights = [self.lexicon.weight(entry) for entry in found.values()]
+            else:
+                own = Counter(e for token in tokens for word, _ in meaning[token] for e in _entries(word))
+                toxic = bool(label[text])
+                less = {e: (k, 0) if toxic else (0, k) for e, k in own.items()}
+                weights = [
+                    next((w for e in _entries(word) if (w := self.lexicon.weight(e, less[e]))), 0.0) for word in found
+                ]
+            weights = sorted((w for w in weights if w), reverse=True)
+            if weights:
+                second = weights[1] if len(weights) > 1 else 0.0
+                rows[text, :5] = sum(weights), len(weights), weights[0], second, len(weights) / size[text]
+        return rows
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.lexicon.forest.score(self.numbers(*buffers(texts)))
 
 
 NUMBERS = ("weight", "hits", "first", "second", "hit_share", "length")
 
 
-def _spell(model: np.ndarray):
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(model: np.ndarray):
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
             for part in slices(batch, "text"):
-                entry, label = [""], [0]
-                for text, y in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                    words = reader.words(text)
-                    own = [e for word in words for e in _entries(word)]
-                    # The empty entry counts words of any kind.
-                    entry += own + [""] * len(words)
-                    label += [y] * (len(own) + len(words))
+                label = part.column("label").to_numpy(zero_copy_only=False)
+                counts = reader.entry_counts(*buffers(part.column("text")), label)
+                sides = [pa.array(side, pa.int64()) for side in zip(*counts.values())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(entry[1:], pa.string()), pa.array(label[1:], pa.int32())], names=["entry", "label"]
+                    [pa.array(list(counts), pa.string()), *sides], names=["entry", "good", "bad"]
                 )
 
-    return spelled
+    return counted
 
 
 def _numbered(model: np.ndarray, lexicon: Lexicon):
@@ -292,9 +321,9 @@ def _numbered(model: np.ndarray, lexicon: Lexicon):
         reader = Reader(model, lexicon)
         for batch in batches:
             for part in slices(batch, "text"):
-                labels = part.column("label").to_pylist()
-                rows = [reader.numbers(t, y) for t, y in zip(part.column("text").to_pylist(), labels)]
-                columns = [pa.array(c, pa.float64()) for c in zip(*rows)]
+                label = part.column("label").to_numpy(zero_copy_only=False)
+                rows = reader.numbers(*buffers(part.column("text")), label)
+                columns = [pa.array(np.ascontiguousarray(c)) for c in rows.T]
                 yield pa.RecordBatch.from_arrays([part.column("label"), *columns], names=["label", *NUMBERS])
 
     return numbered
@@ -303,13 +332,14 @@ def _numbered(model: np.ndarray, lexicon: Lexicon):
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = SAMPLE) -> Lexicon:
     """Count entries on bounded samples of both labels, then fit the forest on their hits."""
     known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    both = [labelled_sample(docs, known.filter(F.col("toxic") == y), "toxic", 4, 2, sample) for y in (0, 1)]
+    picked = [labelled_ids(known.filter(F.col("toxic") == y), "toxic", 4, 2, sample) for y in (0, 1)]
+    chosen = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
     # Copies of one text are one piece of evidence.
-    chosen = durable(both[0].unionByName(both[1]).select("text", "label").dropDuplicates())
-    counted = (
-        chosen.mapInArrow(_spell(model), "entry string, label int")
+    chosen = durable(chosen.select("text", "label").dropDuplicates())
+    counted = durable(
+        chosen.mapInArrow(_counted(model), "entry string, good bigint, bad bigint")
         .groupBy("entry")
-        .agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .filter((F.col("bad") >= 3) | (F.col("entry") == ""))
     )
     total = counted.filter("entry = ''").collect()
@@ -349,7 +379,7 @@ def toxicity_scores(
         reader = Reader(model, lexicon)
         for batch in batches:
             for part in slices(batch, "text"):
-                score = reader.scores(part.column("text").to_pylist())
+                score = reader.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return rows.mapInArrow(scored, "doc_id bigint, score double").select(
@@ -370,7 +400,7 @@ def drop_toxic(
         reader = Reader(model, lexicon)
         for batch in batches:
             for part in slices(batch, text_col):
-                score = reader.scores(part.column(text_col).to_pylist())
+                score = reader.scores(part.column(text_col))
                 yield part.filter(pa.array(score < THRESHOLD))
 
     return docs.mapInArrow(kept, docs.schema)
