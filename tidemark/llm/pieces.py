@@ -107,7 +107,7 @@ class PieceModel:
         chosen = symbols[np.repeat(starts[lead] - own_at[:-1], own) + np.arange(own_at[-1])]
         skip = None
         if rate > 0:
-            named = mix(key[lead] + np.uint64(seed) * _TURN)
+            named = mix(key[lead] + np.uint64(seed * int(_TURN) & 0xFFFFFFFFFFFFFFFF))
             below = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
             def skip(number: np.ndarray, at: np.ndarray, merged: np.ndarray) -> np.ndarray:
