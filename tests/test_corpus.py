@@ -272,3 +272,74 @@ def test_parameters_guard_the_data():
         parameters.from_mapping(parameters.Split, {"folds": 3})
     with pytest.raises(ValueError, match="two folds"):
         parameters.Split(n_folds=1)
+
+
+def test_white_space_is_not_recorded_and_long_names_are_not_cut(spark):
+    from tidemark.functions.notes import recorded
+    from tidemark.operators.scoring import headline_text
+
+    frame = spark.createDataFrame([("\t",), ("\n ",), ("a",), (None,), ("",)], "site string")
+    assert [row[0] for row in frame.select(recorded(frame, "site")).collect()] == [False, False, True, False, False]
+    names = ["a_very_long_model_name", "a_very_long_model_other", "b"]
+    rows = [(name, metric, 0.5, 0.1) for name in names for metric in ("accuracy", "macro_f1")]
+    summary = spark.createDataFrame(rows, "model string, metric string, mean double, std double")
+    lines = {row["model"]: row["headline"] for row in headline_text(summary).collect()}
+    assert all(lines[name].startswith(name.rjust(10) + ": ") for name in names)
+
+
+def test_unknown_classes_and_years_out_of_range_are_errors(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.items import label_index
+
+    frame = spark.createDataFrame([("a",), ("z",)], "class string")
+    with pytest.raises(PySparkException, match="no such class: z"):
+        frame.select(label_index(F.col("class"), ["a", "b"])).collect()
+    assert [row[0] for row in frame.select(label_index(F.col("class"), ["a"], unknown="null")).collect()] == [0, None]
+
+
+def test_results_of_other_models_stay_and_unfinished_sets_do_not_count(spark, tmp_path):
+    from tidemark.sources import results
+
+    path = str(tmp_path / "sets")
+    for model in ("a", "b"):
+        results.write_items(spark.createDataFrame([("c1", model, 1)], "config string, model string, n int"), path)
+    found = results.scan_results(spark, path)
+    assert sorted(row["model"] for row in results.result_names(found).collect()) == ["a", "b"]
+    done = spark.createDataFrame([("c1", "b")], "config string, model string")
+    assert [row["model"] for row in results.scan_results(spark, path, summaries=done).collect()] == ["b"]
+
+
+def test_bands_hide_rows_of_a_matrix_and_cells_of_a_vector(spark):
+    from tidemark.operators.models import hide_bands
+
+    frame = spark.createDataFrame([([1.0] * 12,)], "features array<double>")
+    hidden = {row["low"]: row["features"] for row in hide_bands(frame, 4, 2).collect()}
+    assert hidden[0] == [0.0] * 6 + [1.0] * 6 and hidden[2] == [1.0] * 6 + [0.0] * 6 and hidden[-1] == [1.0] * 12
+    flat = {row["low"]: row["features"] for row in hide_bands(frame, 12, 3).collect()}
+    assert flat[4] == [1.0] * 4 + [0.0] * 4 + [1.0] * 4
+
+
+def test_lookup_model_on_a_single_later_fold(spark):
+    rows = [(i, 2, 1, "test" if i % 4 == 0 else "train", "k" + str(i % 2), i % 2) for i in range(16)]
+    folds = spark.createDataFrame(rows, "item_id int, repeat int, fold int, part string, code string, label int")
+    got = controls.lookup_model(folds, ["code"]).collect()
+    assert got and all(row["seen"] and row["prediction"] == row["label"] for row in got)
+
+
+@pytest.mark.parametrize("mode", ["reflect", "wrap", "edge", "constant"])
+def test_echo_places_invert_the_padding(spark, mode):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.signal import echo_places, pad_index, silent_places
+
+    rows = spark.range(1, 9).withColumnRenamed("id", "n").withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(10).cast("bigint"))
+    want = F.filter(places, lambda i: pad_index(i, F.col("n"), mode) == F.col("p"))
+    mute = F.filter(places, lambda i: pad_index(i, F.col("n"), mode).isNull() & (F.col("p") == 0))
+    for row in rows.select(
+        F.array_sort(echo_places(F.col("p"), F.col("n"), 11, mode)).alias("got"), want.alias("want"),
+        silent_places(F.col("p"), F.col("n"), 11, mode).alias("quiet"), mute.alias("mute"),
+    ).collect():
+        assert row["got"] == row["want"] and row["quiet"] == row["mute"]

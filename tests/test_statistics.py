@@ -41,7 +41,7 @@ def test_no_spread_has_no_p_value(spark):
     described = uncertainty.describe_margin(
         uncertainty.paired_difference(pairs(spark, [0.25] * 5), ["model"])
     ).head()
-    assert "no spread to test" in described["verdict"] and not described["resolved"]
+    assert "untested" in described["verdict"] and not described["resolved"]
     row = uncertainty.paired_difference(pairs(spark, [0.0] * 5), ["model"]).head()
     assert row["p_value"] == 1.0 and row["agreeing"] == 0
 
@@ -263,3 +263,21 @@ def test_precision_of_tables(spark):
     assert first["p_value"] == pytest.approx(7.65432e-17, rel=1e-9)
     assert first["margin"] == 0.1234567895 and first["name"] == "x"
     assert second["p_value"] == 0.0 and math.isclose(second["margin"], 0.3333333333, abs_tol=0)
+
+
+def test_splits_without_a_score_do_not_count(spark):
+    rows = [("m", "c", 0, f, s, 0.5) for f, s in enumerate([0.6, 0.7, None, 0.65])]
+    frame = spark.createDataFrame(rows, "model string, control string, repeat int, fold int, left double, right double")
+    row = uncertainty.paired_difference(frame, ["model"]).head()
+    same = uncertainty.paired_difference(frame.filter("left is not null"), ["model"]).head()
+    assert row["folds"] == 3 and row == same
+
+
+def test_pairs_without_a_shared_split_and_missing_metrics_are_refused(spark):
+    scores = spark.createDataFrame([("m", 0, 0, 0.5), ("c", 0, 1, 0.4)], "model string, repeat int, fold int, score double")
+    wanted = spark.createDataFrame([("m", "c")], "model string, control string")
+    with pytest.raises(PySparkException, match="no split scored both m and c"):
+        uncertainty.shared_folds(scores, wanted).collect()
+    metrics = spark.createDataFrame([("m", 0, "accuracy", 0.5)], "model string, fold int, metric string, value double")
+    with pytest.raises(Exception, match="macro_f1"):
+        uncertainty.fold_scores(metrics)

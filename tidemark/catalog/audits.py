@@ -44,13 +44,13 @@ def p2(spark, d):
              THEN (list_position({STUDIED}, event_type) - 1)::INT END AS label FROM events""",
 )
 def p3(spark, d):
-    return multi_items(spark, d).select("item_id", label_index(F.col("class"), STUDIED).alias("label"))
+    return multi_items(spark, d).select("item_id", label_index(F.col("class"), STUDIED, unknown="null").alias("label"))
 
 
 @query(
     "P8_recorded",
     sql(
-        """SELECT item_id, trim(site) <> '' AS site_recorded, lat IS NOT NULL AS lat_recorded
+        """SELECT item_id, length(regexp_replace(site, '[ \t\n\r\f\v]', '', 'g')) > 0 AS site_recorded, lat IS NOT NULL AS lat_recorded
            FROM items""",
         "items",
     ),
@@ -154,7 +154,7 @@ def a5(spark, d):
     "A6_classes_per_value",
     sql(
         """SELECT site, count(DISTINCT class) AS classes, count(*) AS items
-           FROM items WHERE keep AND trim(site) <> '' GROUP BY site""",
+           FROM items WHERE keep AND length(regexp_replace(site, '[ \t\n\r\f\v]', '', 'g')) > 0 GROUP BY site""",
         "items",
     ),
 )
@@ -172,8 +172,8 @@ def _outcome(field: str, absent: str) -> str:
 OUTCOMES = " UNION ALL ".join(
     [
         _outcome("native_rate", "native_rate IS NULL"),
-        _outcome("site", "trim(site) = ''"),
-        _outcome("code", "trim(code) = ''"),
+        _outcome("site", "length(regexp_replace(site, '[ \t\n\r\f\v]', '', 'g')) = 0"),
+        _outcome("code", "length(regexp_replace(code, '[ \t\n\r\f\v]', '', 'g')) = 0"),
     ]
 )
 
@@ -194,7 +194,7 @@ def _giveaway(field: str, by: str = "") -> str:
       coalesce(sum(n) FILTER (WHERE written AND classes = 1), 0)::BIGINT AS items_given_away,
       round(coalesce(sum(n) FILTER (WHERE written AND classes = 1), 0)::DOUBLE
             / greatest(sum(n), 1), 4) AS share_given_away
-    FROM (SELECT {lead}{field}, trim({field}) <> '' AS written,
+    FROM (SELECT {lead}{field}, length(regexp_replace({field}, '[ \t\n\r\f\v]', '', 'g')) > 0 AS written,
             count(DISTINCT class) AS classes, count(*) AS n FROM kept GROUP BY ALL) {group}"""
 
 
@@ -219,7 +219,7 @@ def a9(spark, d):
         """SELECT code, count(*) AS items, count(DISTINCT group_id) AS groups,
              count(DISTINCT class) AS classes,
              string_agg(DISTINCT class, ', ' ORDER BY class) AS carried
-           FROM kept WHERE trim(code) <> '' GROUP BY code""",
+           FROM kept WHERE length(regexp_replace(code, '[ \t\n\r\f\v]', '', 'g')) > 0 GROUP BY code""",
         "kept",
     ),
 )
@@ -231,7 +231,7 @@ def a10(spark, d):
     "A11_sites_by_class",
     sql(
         """SELECT class, site, count(*) AS items, count(DISTINCT group_id) AS groups
-           FROM kept WHERE trim(site) <> '' GROUP BY ALL""",
+           FROM kept WHERE length(regexp_replace(site, '[ \t\n\r\f\v]', '', 'g')) > 0 GROUP BY ALL""",
         "kept",
     ),
 )

@@ -235,6 +235,11 @@ def h(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {joined})), 1, 8))::BIGINT"
 
 
+def wide(*parts: str) -> str:
+    """The same with 60 bits."""
+    return h(*parts).replace("1, 8))", "1, 15))")
+
+
 _POINTS = " ".join(f"WHEN '{m}' THEN {points}" for m, (points, _, _) in MODELS.items())
 _RAW = ", ".join(
     f"((bits >> {12 * k}) & 4095) % 1000 + CASE WHEN label = {k} THEN bonus ELSE 0 END + 1 AS r{k}" for k in range(5)

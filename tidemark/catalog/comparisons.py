@@ -13,6 +13,7 @@ from tidemark.catalog.base import (
     SEGMENTS,
     add_cte,
     h,
+    wide,
     kept_items,
     predictions,
     query,
@@ -190,11 +191,9 @@ def u4(spark, d):
     "P12_describe_margin",
     sql(
         """SELECT model, control, p_value < 0.05 AS resolved,
-             printf('%.3f', abs(margin)) || CASE WHEN margin >= 0 THEN ' higher' ELSE ' lower' END
-             || ' [' || printf('%+.3f', low) || ', ' || printf('%+.3f', high) || '], p = '
-             || printf('%.3f', p_value) || ', ' || CASE WHEN p_value < 0.05
-               THEN 'resolved at p < 0.05' ELSE 'not resolvable by this design, on ' || folds || ' folds' END
-             || '; the direction held in ' || agreeing || ' of ' || folds || ' folds' AS verdict
+             'margin ' || printf('%+.3f', margin) || '; interval ' || printf('%+.3f', low) || ' to '
+             || printf('%+.3f', high) || '; p ' || printf('%.3f', p_value) || '; ' || agreeing || '/' || folds
+             || ' splits agree; ' || CASE WHEN p_value < 0.05 THEN 'resolved' ELSE 'unresolved' END AS verdict
            FROM declared_margins""",
         "declared_margins",
     ),
@@ -250,7 +249,7 @@ def _bootstrap_ctes(unit: str) -> None:
     add_cte(
         f"{unit}_draws",
         (f"{unit}_numbers",),
-        f"""SELECT groups, b AS resample, {h(str(SEED), 'b', 'd')} % groups AS draw
+        f"""SELECT groups, b AS resample, {wide(str(SEED), 'b', 'd')} % groups AS draw
             FROM (SELECT DISTINCT groups, draw AS d FROM {unit}_numbers)
             CROSS JOIN (SELECT range AS b FROM range({RESAMPLES}))""",
     )

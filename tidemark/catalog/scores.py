@@ -304,7 +304,7 @@ def g12(spark, d):
 @query(
     "P13_headline_text",
     sql(
-        """SELECT model, lpad(model, 10, ' ') || ': acc ' || printf('%.3f', a) || ' +/- '
+        """SELECT model, repeat(' ', greatest(10 - length(model), 0)) || model || ': acc ' || printf('%.3f', a) || ' +/- '
              || printf('%.3f', b) || '  macro-F1 ' || printf('%.3f', c) || ' +/- '
              || printf('%.3f', e) AS headline
            FROM (SELECT model, max(mean) FILTER (WHERE metric = 'accuracy') AS a,

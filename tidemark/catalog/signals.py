@@ -35,7 +35,7 @@ def starts_sql(n: str, band: Band) -> str:
     last = f"greatest({n} - {w}, 0)"
     count = f"(ceil({last} / {hop}.0::DOUBLE)::BIGINT + 1)"
     every = f"range(0, {count})"
-    at = f"list_transform({{ids}}, lambda i: least(i * {hop}, {last})::INT)"
+    at = f"list_transform({{ids}}, lambda i: least(i * {hop}, {last})::BIGINT)"
     if not m:
         return at.format(ids=every)
     step = f"(({count} - 1) / {m - 1}.0::DOUBLE)"
@@ -144,7 +144,7 @@ def _sample_ctes(name: str, band: Band) -> None:
         name,
         ("samples",),
         f"""
-    SELECT w.item_id, window_index, i::INT AS "offset", value
+    SELECT w.item_id, window_index::BIGINT AS window_index, i::INT AS "offset", value
     FROM ({_exploded('(SELECT DISTINCT item_id, n FROM samples)', 'item_id, n', starts_sql('n', band))}) w
     CROSS JOIN (SELECT range AS i FROM range({band.window}))
     JOIN samples s ON s.item_id = w.item_id AND s.position =

@@ -42,7 +42,7 @@ def window_starts(n: Column, window: int, hop: int, max_windows: int = 0) -> Col
         chosen = F.when(count > max_windows, F.array_distinct(picks)).otherwise(every)
     else:
         chosen = every
-    return F.transform(chosen, lambda i: start_of(i, n, window, hop).cast("int"))
+    return F.transform(chosen, lambda i: start_of(i, n, window, hop))
 
 
 def pad_index(i: Column, n: Column, mode: str) -> Column:
@@ -63,6 +63,40 @@ def pad_index(i: Column, n: Column, mode: str) -> Column:
     return F.when(i < n, i).when(n > 1, source)
 
 
+def echo_places(p: Column, n: Column, length: int, mode: str) -> Column:
+    """Places below ``length`` where sample ``p`` of a short signal sounds, itself included."""
+    none = F.array().cast("array<bigint>")
+
+    def every(start: Column, step: Column) -> Column:
+        last = F.lit(length - 1).cast("bigint")
+        return F.when(start <= last, F.sequence(start, last, step)).otherwise(none)
+
+    alone = F.array(p)
+    if mode == "reflect":
+        period = F.greatest(2 * (n - 1), F.lit(1).cast("bigint"))
+        back = F.when((p > 0) & (p < n - 1), every(period - p, period)).otherwise(none)
+        echoes = F.concat(every(p, period), back)
+    elif mode == "wrap":
+        echoes = every(p, n)
+    elif mode == "edge":
+        echoes = F.when(p == n - 1, every(p, F.lit(1).cast("bigint"))).otherwise(alone)
+    elif mode == "constant":
+        echoes = alone
+    else:
+        raise ValueError(f"unknown padding mode {mode!r}")
+    return F.when(n > 1, echoes).otherwise(alone)
+
+
+def silent_places(p: Column, n: Column, length: int, mode: str) -> Column:
+    """Places below ``length`` where a short signal is silent, listed for its first sample."""
+    none = F.array().cast("array<bigint>")
+    rest = F.sequence(n, F.lit(length - 1).cast("bigint"))
+    silent = (p == 0) & (n < length)
+    if mode != "constant":
+        silent = silent & (n <= 1)
+    return F.when(silent, rest).otherwise(none)
+
+
 def pad_signal(signal: Column, length: int, mode: str = "reflect") -> Column:
     """Extend a short signal to ``length`` samples; a longer one is left alone."""
     n = F.size(signal)

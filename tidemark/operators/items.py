@@ -31,6 +31,7 @@ def parse_identity(df: DataFrame, path: str, id_length: int) -> DataFrame:
         F.when(F.size(parts) != 3, "not_three_parts")
         .when(~F.lower(name).endswith(".wav"), "not_wav")
         .when(~F.get(parts, 1).rlike(r"^\d+$"), "year_not_numeric")
+        .when(F.get(parts, 1).try_cast("int").isNull(), "year_out_of_range")
         .when(F.length(stem) < id_length, "id_too_short")
         .otherwise("")
     )
@@ -75,10 +76,19 @@ def with_drop_reason(
     return df.withColumn("drop_reason", reason).withColumn("keep", F.col("drop_reason") == "")
 
 
-def label_index(name: Column, class_names: Sequence[str]) -> Column:
-    """Position of a class in the configured list; null for a class not in it."""
+def label_index(name: Column, class_names: Sequence[str], unknown: str = "fail") -> Column:
+    """Position of a class in the configured list.
+
+    A class not in it fails the job; ``unknown="null"`` is for corpora with classes that are
+    not studied, whose rows are to be left out.
+    """
     place = F.array_position(F.array(*[F.lit(c) for c in class_names]), name)
-    return F.when(place > 0, place - 1).cast("int")
+    found = F.when(place > 0, (place - 1).cast("int"))
+    if unknown == "null":
+        return found
+    return found.when(
+        name.isNotNull(), F.raise_error(F.concat(F.lit("no such class: "), name)).cast("int")
+    )
 
 
 def duplicate_items(df: DataFrame, item: str = "item_id") -> DataFrame:

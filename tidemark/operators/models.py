@@ -226,14 +226,21 @@ def band_edges(n_bins: int | Column, groups: int) -> Column:
 
 
 def hide_bands(df: DataFrame, n_bins: int, groups: int) -> DataFrame:
-    """Every row once per band with that band zeroed, and once untouched (band -1)."""
+    """Every row once per band with that band zeroed, and once untouched (band -1).
+
+    A feature row is a matrix of ``n_bins`` rows, one behind another: a cell's bin is its
+    place divided by the length of a row. A flat vector has rows of one cell.
+    """
+    frames = F.floor(F.size("features") / n_bins).cast("int")
     untouched = F.array(F.struct(F.lit(-1).alias("low"), F.lit(-1).alias("high")))
     rows = df.withColumn(
         "__band", F.explode(F.concat(untouched, band_edges(n_bins, groups)))
     ).withColumn("low", F.col("__band")["low"]).withColumn("high", F.col("__band")["high"])
     hidden = F.transform(
         "features",
-        lambda v, i: F.when((i >= F.col("low")) & (i < F.col("high")), 0.0).otherwise(v),
+        lambda v, i: F.when(
+            (i >= F.col("low") * frames) & (i < F.col("high") * frames), 0.0
+        ).otherwise(v),
     )
     return rows.withColumn("features", hidden).drop("__band")
 

@@ -345,7 +345,7 @@ def headline_text(summary: DataFrame) -> DataFrame:
         )
 
     line = F.concat(
-        F.lpad("model", 10, " "),
+        F.when(F.length("model") < 10, F.lpad("model", 10, " ")).otherwise(F.col("model")),
         F.lit(": "),
         F.concat_ws("  ", part("accuracy", "acc"), part("macro_f1", "macro-F1")),
     )

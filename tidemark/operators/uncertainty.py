@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ComparisonError, require_columns
-from tidemark.functions.hashing import stable_hash
+from tidemark.functions.hashing import digest, hex_number
 from tidemark.functions.student import t_quantile, t_tail
 from tidemark.operators.joins import lookup, spread_out
 from tidemark.operators.ordered import PART, Ordered
@@ -27,6 +27,8 @@ CONFIDENCE = 0.95
 def fold_scores(metrics: DataFrame, metric: str = "macro_f1") -> DataFrame:
     """One score per (model, repeat, fold); a frame without repeats is repeat 0."""
     require_columns(metrics, "fold", "metric", "value", error=ComparisonError)
+    if metrics.filter(F.col("metric") == metric).select("metric").isEmpty():
+        raise ComparisonError(f"no split has a score for {metric!r}")
     if "repeat" not in metrics.columns:
         metrics = metrics.withColumn("repeat", F.lit(0))
     keys = [name for name in ("model", "repeat", "fold") if name in metrics.columns]
@@ -36,13 +38,19 @@ def fold_scores(metrics: DataFrame, metric: str = "macro_f1") -> DataFrame:
 def shared_folds(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pair each model with its control on the splits both were scored on.
 
-    ``pairs`` has ``model`` and ``control`` (and any columns to carry along).
+    ``pairs`` has ``model`` and ``control`` (and any columns to carry along). The job fails
+    on a pair without a shared split.
     """
     left = scores.select("model", "repeat", "fold", F.col("score").alias("left"))
     right = scores.select(
         F.col("model").alias("control"), "repeat", "fold", F.col("score").alias("right")
     )
-    return pairs.join(left, "model").join(right, ["control", "repeat", "fold"])
+    splits = left.join(right, ["repeat", "fold"])
+    both = pairs.join(splits, ["model", "control"], "left")
+    fail = F.raise_error(
+        F.concat(F.lit("no split scored both "), F.col("model"), F.lit(" and "), F.col("control"))
+    )
+    return both.withColumn("fold", F.when(F.col("fold").isNull(), fail.cast("int")).otherwise(F.col("fold")))
 
 
 def matched_folds(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -59,19 +67,20 @@ def matched_folds(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _spread(paired: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Moments of the differences; a split whose score is undefined on a side is no split."""
     d = F.col("left") - F.col("right")
     sign = F.when(d > 0, 1).when(d < 0, -1).otherwise(0)
     grouped = paired.withColumn("__d", d).withColumn("__s", sign).groupBy(*by).agg(
-        F.avg("left").alias("mean"),
-        F.avg("right").alias("control_mean"),
+        F.avg(F.when(F.col("__d").isNotNull(), F.col("left"))).alias("mean"),
+        F.avg(F.when(F.col("__d").isNotNull(), F.col("right"))).alias("control_mean"),
         F.avg("__d").alias("margin"),
         F.var_samp("__d").alias("variance"),
         (F.min("__d") == F.max("__d")).alias("constant"),
         F.min("__d").alias("__only"),
         F.count_if(F.col("__s") > 0).alias("__up"),
         F.count_if(F.col("__s") < 0).alias("__down"),
-        F.count(F.lit(1)).alias("folds"),
-        F.countDistinct("fold").alias("folds_per_repeat"),
+        F.count("__d").alias("folds"),
+        F.countDistinct(F.when(F.col("__d").isNotNull(), F.col("fold"))).alias("folds_per_repeat"),
     )
     # With no spread the mean is the one difference, exactly.
     grouped = grouped.withColumn(
@@ -145,31 +154,17 @@ def resolved(df: DataFrame) -> Column:
 
 
 def describe_margin(df: DataFrame) -> DataFrame:
-    """A sentence for each comparison: direction, interval, p, and what was resolved."""
-    direction = F.when(F.col("margin") >= 0, "higher").otherwise("lower")
-    head = F.format_string("%.3f %s", F.abs("margin"), direction)
-    folds = F.col("folds").cast("string")
-    flat = F.concat(
-        head,
-        F.lit(", every one of "),
-        folds,
-        F.lit(" folds differed by the same amount, so there is no spread to test"),
-    )
-    verdict = F.when(resolved(df), "resolved at p < 0.05").otherwise(
-        F.concat(F.lit("not resolvable by this design, on "), folds, F.lit(" folds"))
-    )
-    spread = F.concat(
-        head,
-        F.format_string(" [%+.3f, %+.3f], p = %.3f, ", "low", "high", "p_value"),
-        verdict,
-        F.lit("; the direction held in "),
-        F.col("agreeing").cast("string"),
-        F.lit(" of "),
-        folds,
-        F.lit(" folds"),
-    )
+    """``resolved``, and a line of facts: margin, interval, p, splits that agree, verdict."""
+    margin = F.format_string("margin %+.3f", "margin")
+    agree = F.format_string("%d/%d splits agree", "agreeing", "folds")
+    flat = F.concat_ws("; ", margin, F.lit("equal on all splits, untested"), agree)
+    tested = F.format_string("interval %+.3f to %+.3f; p %.3f", "low", "high", "p_value")
+    ending = F.when(resolved(df), "resolved").otherwise("unresolved")
     return df.withColumn("resolved", resolved(df)).withColumn(
-        "verdict", F.when(F.col("p_value").isNull(), flat).otherwise(spread)
+        "verdict",
+        F.when(F.col("p_value").isNull(), flat).otherwise(
+            F.concat_ws("; ", margin, tested, agree, ending)
+        ),
     )
 
 
@@ -203,8 +198,10 @@ def draw_groups(numbered: DataFrame, resamples: int, seed: int) -> DataFrame:
         .select(
             "groups",
             "resample",
-            F.pmod(stable_hash(F.lit(seed), F.col("resample"), F.col("__d")), F.col("groups"))
-            .alias("draw"),
+            # 60 bits: every group can be drawn, and the remainder's bias is out of sight.
+            F.pmod(
+                hex_number(digest(F.lit(seed), F.col("resample"), F.col("__d")), 1, 15), F.col("groups")
+            ).alias("draw"),
         )
     )
 

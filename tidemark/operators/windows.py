@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ExtractionIncomplete
-from tidemark.functions.signal import pad_index, pad_signal, start_of, window_starts
+from tidemark.functions.signal import (
+    echo_places,
+    pad_signal,
+    silent_places,
+    start_of,
+    window_starts,
+)
 from tidemark.operators.joins import lookup
 from tidemark.operators.ordered import with_position
 from tidemark.parameters import Band
@@ -26,7 +32,8 @@ def split_windows(df: DataFrame, band: Band, signal: str = "signal") -> DataFram
         *others,
         "window_index",
         "start",
-        F.slice("__padded", F.col("start") + 1, band.window).alias("samples"),
+        # An array has fewer than 2^31 places.
+        F.slice("__padded", (F.col("start") + 1).cast("int"), band.window).alias("samples"),
     )
 
 
@@ -62,26 +69,18 @@ def split_samples(
     )
     # Where this sample lands in the padded signal: itself, and its echoes if short.
     # Silence belongs to no sample, so the first one brings it along.
-    n, here = F.col("m").cast("int"), F.col("position").cast("int")
+    n, here = F.col("m"), F.col("position").cast("bigint")
     heard = F.col(value).cast("double")
-    echoes = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(w - 1)),
-            lambda i: pad_index(i, n, band.pad_mode) == here,
-        ),
-        lambda i: F.struct(i.alias("place"), heard.alias("__heard")),
-    )
-    silence = F.transform(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(w - 1)),
-            lambda i: pad_index(i, n, band.pad_mode).isNull() & (here == 0),
-        ),
-        lambda i: F.struct(i.alias("place"), F.lit(0.0).alias("__heard")),
-    )
-    itself = F.array(F.struct(here.alias("place"), heard.alias("__heard")))
-    placed = rows.select(
-        "*", F.inline(F.when(n >= w, itself).otherwise(F.concat(echoes, silence)))
+
+    def sounded(places: Column, what: Column) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("place"), what.alias("__heard")))
+
+    short = F.concat(
+        sounded(echo_places(here, n, w, band.pad_mode), heard),
+        sounded(silent_places(here, n, w, band.pad_mode), F.lit(0.0)),
     )
+    itself = sounded(F.array(here), heard)
+    placed = rows.select("*", F.inline(F.when(n >= w, itself).otherwise(short)))
     place = F.col("place")
     if band.max_windows:
         hits = F.filter(
@@ -92,22 +91,22 @@ def split_samples(
         )
     else:
         last = F.greatest(n - w, F.lit(0))
-        low = F.greatest(F.lit(0), F.ceil((place - w + 1) / hop)).cast("int")
-        high = F.least(F.ceil(last / hop), F.floor(place / hop)).cast("int")
+        low = F.greatest(F.lit(0), F.ceil((place - w + 1) / hop)).cast("bigint")
+        high = F.least(F.ceil(last / hop), F.floor(place / hop)).cast("bigint")
         # The tail-aligned window starts before its place on the grid.
-        high = F.when(place >= last, F.ceil(last / hop).cast("int")).otherwise(high)
+        high = F.when(place >= last, F.ceil(last / hop).cast("bigint")).otherwise(high)
         hits = F.transform(
             F.sequence(low, high),
             lambda i: F.struct(
-                i.alias("window_index"), start_of(i, n, w, hop).cast("int").alias("start")
+                i.alias("window_index"), start_of(i, n, w, hop).alias("start")
             ),
         )
         # Every place lies in a window because a hop is no longer than a window.
         hits = F.filter(hits, lambda x: (x["start"] <= place) & (x["start"] > place - w))
     return placed.select(item, "place", "__heard", F.inline(hits)).select(
         item,
-        "window_index",
-        (F.col("place") - F.col("start")).alias("offset"),
+        F.col("window_index").cast("bigint").alias("window_index"),
+        (F.col("place") - F.col("start")).cast("int").alias("offset"),
         F.col("__heard").alias(value),
     )
 

@@ -50,9 +50,13 @@ def write_rounded(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_items(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS) -> None:
-    """Persist a table, partitioned by those of ``config, model`` that it has."""
+    """Persist a table, partitioned by those of ``config, model`` that it has.
+
+    Only the partitions that ``df`` has are replaced; other models' results stay.
+    """
     there = [name for name in partitions if name in df.columns]
-    df.write.mode("overwrite").partitionBy(*there).parquet(path)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*there).parquet(path)
 
 
 def scan_results(
@@ -61,13 +65,20 @@ def scan_results(
     *,
     config: str | None = None,
     models: Sequence[str] | None = None,
+    summaries: DataFrame | None = None,
 ) -> DataFrame:
-    """Result sets of many models as one table; unwanted partitions are never opened."""
+    """Result sets of many models as one table; unwanted partitions are never opened.
+
+    With ``summaries``, which has ``config`` and ``model`` of every finished result set,
+    sets that are still being written do not count.
+    """
     df = spark.read.parquet(path)
     if config is not None:
         df = df.filter(F.col("config") == config)
     if models is not None:
         df = df.filter(F.col("model").isin(list(models)))
+    if summaries is not None:
+        df = df.join(summaries.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
     return df
 
 
