@@ -236,6 +236,13 @@ def test_bootstrap_by_additivity_equals_materialised_resamples(spark):
     assert draws.groupBy("resample").count().filter("count <> 20").count() == 0
 
 
+def test_bootstrap_is_the_same_beyond_the_broadcast(spark, monkeypatch):
+    frame = bootstrap_rows(spark)
+    sent = uncertainty.cluster_bootstrap(frame, 2, resamples=50, seed=4).head()
+    monkeypatch.setattr(uncertainty, "SENT_CELLS", 0)
+    assert uncertainty.cluster_bootstrap(frame, 2, resamples=50, seed=4).head() == sent
+
+
 def test_bootstrap_over_items_is_narrower(spark):
     both = uncertainty.bootstrap_unit_contrast(bootstrap_rows(spark), 2, resamples=60, seed=1).head()
     assert both["ratio"] > 1.5 and (both["groups"], both["items"]) == (20, 200)

@@ -608,7 +608,7 @@ def u17(spark, d):
         SEGMENTS,
         SILENT,
         outcomes(spark, d),
-        resamples=20,
+        resamples=RESAMPLES,
     )
     return report.as_lines(built)
 

@@ -11,7 +11,7 @@ from tidemark.errors import ComparisonError, require_columns
 from tidemark.functions.hashing import digest, hex_number
 from tidemark.functions.student import t_quantile, t_tail
 from tidemark.operators.joins import lookup, spread_out
-from tidemark.operators.ordered import PART, Ordered
+from tidemark.operators.ordered import PART, Ordered, durable
 from tidemark.operators.scoring import (
     COUNT_METRICS,
     confusion_counts,
@@ -21,6 +21,8 @@ from tidemark.operators.scoring import (
 
 RESAMPLES = 2000
 CONFIDENCE = 0.95
+# At most this many rows of a few numbers each are broadcast, about 40 MB.
+SENT_CELLS = 500_000
 
 
 # ------------------------------------------------------------------- paired comparison
@@ -237,11 +239,13 @@ def cluster_bootstrap(
     draws = draw_groups(numbered, resamples, seed)
     if metric in COUNT_METRICS:
         cells = confusion_counts(predictions, [*keys, group])
-        cells = cells.join(numbered, [*keys, group])
-        # The draws are the large side, whatever their plan is estimated at: the hash
-        # tables are built from the cells of a partition and nothing is broadcast.
+        cells = durable(cells.join(numbered, [*keys, group]))
+        # Each draw is summed where it is made if the counted cells are few enough to send
+        # everywhere. Otherwise draws and cells meet in a shuffle, and the hash tables are
+        # built from the cells of a partition.
+        few = cells.count() <= SENT_CELLS
         counts = (
-            draws.join(cells.hint("shuffle_hash"), ["groups", "draw"])
+            draws.join(cells.hint("broadcast" if few else "shuffle_hash"), ["groups", "draw"])
             .groupBy(*keys, "resample", "label", "prediction")
             .agg(F.sum("n").alias("n"))
         )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Skewed join partitions are split at run time, also where that adds a shuffle.
@@ -20,6 +24,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, for clusters where it is not installed."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(folder, "tidemark"), "zip", os.path.dirname(package), "tidemark")
+    spark.sparkContext.addPyFile(archive)
+    return spark
+
+
 def local_session(cpus: str = "*", partitions: int = 8, name: str = "tidemark") -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (
