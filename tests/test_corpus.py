@@ -343,3 +343,16 @@ def test_echo_places_invert_the_padding(spark, mode):
         silent_places(F.col("p"), F.col("n"), 11, mode).alias("quiet"), mute.alias("mute"),
     ).collect():
         assert row["got"] == row["want"] and row["quiet"] == row["mute"]
+
+
+def test_fold_plans_copy_no_window(spark):
+    from tidemark.operators.models import in_part, with_plan
+
+    windows = spark.createDataFrame([(i // 3, [float(i)]) for i in range(30)], "item_id int, features array<double>")
+    rows = [(i, r, f, "test" if i % 5 == f else "train") for i in range(10) for r in range(4) for f in range(5)]
+    folds = spark.createDataFrame(rows, "item_id int, repeat int, fold int, part string")
+    planned = with_plan(windows, folds)
+    assert planned.count() == windows.count()
+    tested = in_part(planned, 2, 1, "test")
+    assert {row["item_id"] for row in tested.collect()} == {1, 6} and tested.count() == 6
+    assert {(row["repeat"], row["fold"]) for row in tested.collect()} == {(2, 1)}

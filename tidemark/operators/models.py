@@ -152,22 +152,51 @@ def fit_forest(**settings) -> Fit:
     return fit
 
 
+PLAN = "__plan"
+
+
+def _split_key(repeat, fold) -> Column:
+    """``repeat`` and ``fold`` as one text; each is a number or a column."""
+    repeat, fold = (v if isinstance(v, Column) else F.lit(v) for v in (repeat, fold))
+    return F.concat_ws(":", repeat.cast("string"), fold.cast("string"))
+
+
+def with_plan(windows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Each window once, with a map from "repeat:fold" to the part its item has there.
+
+    A plan has one short entry per split, so features are never copied for a fold.
+    """
+    entry = F.struct(_split_key(F.col("repeat"), F.col("fold")).alias("split"), F.col("part"))
+    plans = folds.groupBy("item_id").agg(F.map_from_entries(F.collect_set(entry)).alias(PLAN))
+    return durable(windows.join(plans, "item_id"))
+
+
+def in_part(planned: DataFrame, repeat: int, fold: int, part: str) -> DataFrame:
+    """The windows of one part of one split, stamped with the split."""
+    chosen = planned.filter(F.col(PLAN)[_split_key(repeat, fold)] == part)
+    return chosen.drop(PLAN).withColumns({"repeat": F.lit(repeat), "fold": F.lit(fold)})
+
+
 def fit_folds(
     windows: DataFrame, folds: DataFrame, fit: Fit, n_classes: int, splits: Sequence[tuple[int, int]]
 ) -> dict[tuple[int, int], Predict]:
     """Fit one model per (repeat, fold) on that fold's training windows."""
-    rows = durable(windows.join(folds.select("item_id", "repeat", "fold", "part"), "item_id"))
-    weights = class_weights(rows.filter("part = 'train'"), n_classes)
+    planned = with_plan(windows, folds)
+    # Only labels are listed per split, and at once counted.
+    listed = planned.select("label", F.explode(PLAN).alias("split", "part")).filter("part = 'train'")
+    weights = durable(class_weights(listed, n_classes, keys=["split"]))
     fitted = {}
     for repeat, fold in splits:
-        here = rows.filter((F.col("repeat") == repeat) & (F.col("fold") == fold))
-        train = here.filter("part = 'train'").join(weights, ["repeat", "fold", "label"])
-        validation = here.filter("part = 'validation'")
-        if train.limit(1).count() == 0:
-            raise TidemarkError(f"repeat {repeat} fold {fold} has no training windows")
-        train.persist()
-        fitted[repeat, fold] = fit(train, validation, n_classes)
-        train.unpersist()
+        own = weights.filter(F.col("split") == f"{repeat}:{fold}").select("label", "weight")
+        train = in_part(planned, repeat, fold, "train").join(own, "label")
+        validation = in_part(planned, repeat, fold, "validation")
+        train = train.persist()
+        try:
+            if train.isEmpty():
+                raise TidemarkError(f"repeat {repeat} fold {fold} has no training windows")
+            fitted[repeat, fold] = fit(train, validation, n_classes)
+        finally:
+            train.unpersist()
     return fitted
 
 
@@ -175,11 +204,9 @@ def predict_folds(
     windows: DataFrame, folds: DataFrame, fitted: dict[tuple[int, int], Predict], model: str
 ) -> DataFrame:
     """Window scores of every fold's model on its own test items, stamped."""
-    tested = windows.join(
-        folds.filter("part = 'test'").select("item_id", "repeat", "fold"), "item_id"
-    )
+    planned = with_plan(windows, folds)
     parts = [
-        predict(tested.filter((F.col("repeat") == repeat) & (F.col("fold") == fold)))
+        predict(in_part(planned, repeat, fold, "test"))
         for (repeat, fold), predict in fitted.items()
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(model))
