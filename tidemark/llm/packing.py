@@ -37,7 +37,7 @@ from tidemark.operators.ordered import durable, with_position
 CAPACITY = 4096
 CLOSING_ID = 1
 #: Bytes of text that share one table of distinct chunks.
-TOKEN_SLICE = 1 << 22
+TOKEN_SLICE = 1 << 21
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 

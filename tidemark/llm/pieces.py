@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.merges import PairTable, merge_words
+from tidemark.llm.rows import small_batches
 from tidemark.llm.words import mix, slices
 
 MARK = "▁"
@@ -159,7 +160,9 @@ def encode_documents(
     rest = [name for name in docs.columns if name not in (text_col, "ids")]
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*[f"`{n}`" for n in rest]).dtypes)
     variant = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(VARIANTS))
-    rows = docs.select(*[f"`{n}`" for n in rest], F.col(f"`{text_col}`").alias("__text"), variant.alias("__variant"))
+    rows = small_batches(docs).select(
+        *[f"`{n}`" for n in rest], F.col(f"`{text_col}`").alias("__text"), variant.alias("__variant")
+    )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.at(model)

@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch between the JVM and Python, where the session leaves Spark's default.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts are long: keep the batches that pass to Python small, unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def document_rows(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under fixed names, so that no other name can clash.
 
     A null text counts as empty; a null id stays null.
     """
-    return df.select(
+    return small_batches(df).select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         *[F.col(f"`{name}`").alias(name) for name in more],
@@ -28,6 +41,13 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> Da
 
     Rows that repeat an id are one document. Ids may be null and match a null.
     """
-    chosen = decided.select(F.col("keep").alias("__keep"))
-    kept = docs.join(chosen, docs[f"`{id_col}`"].eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    named = docs.withColumn("__key", null_safe(F.col(f"`{id_col}`")))
+    chosen = decided.select(null_safe(F.col("keep")).alias("__key"))
+    # One key for the join and for what repeats, so that the texts are shuffled once.
+    kept = named.join(chosen, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select(*[f"`{name}`" for name in docs.columns])
+
+
+def null_safe(*parts: Column) -> Column:
+    """The parts as one text that is never null and tells a null from any value."""
+    return F.concat_ws("|", *[F.coalesce(part.cast("string"), F.lit("null")) for part in parts])

@@ -46,7 +46,9 @@ THRESHOLD = 0.3
 #: Letters of the longest word the lexicon may list.
 LONGEST = 64
 #: Tokens a worker remembers before it forgets all of them.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
+#: Bytes of text whose entries are counted together.
+COUNT_SLICE = 1 << 19
 #: Lengths of the word beginnings that the lexicon may list, best first.
 STEMS = (7, 6, 5, 4)
 
@@ -305,7 +307,7 @@ def _counted(model: np.ndarray):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNT_SLICE):
                 label = part.column("label").to_numpy(zero_copy_only=False)
                 counts = reader.entry_counts(*buffers(part.column("text")), label)
                 sides = [pa.array(side, pa.int64()) for side in zip(*counts.values())]

@@ -35,6 +35,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         stop = max(start + 1, int(np.searchsorted(total, done + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    # Workers live on between stages: give back what this batch has used.
+    pa.default_memory_pool().release_unused()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
