@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import equal_groups
+from tidemark.llm.rows import null_safe, small_batches
 from tidemark.operators.ordered import durable, shared_folder
 
 #: Payloads of at least this many bytes are written once; equal ones become revisits.
@@ -103,7 +104,7 @@ def _writer(folder: str, size: int):
             for row in batch.to_pylist():
                 if out is None:
                     name = f"{_attempt()}-{len(made):04d}.warc.gz"
-                    out, pack = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    out, pack = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
                     made.append([name, 0, 0])
                 payload = (row["html"] or "").encode()
                 record = _record(row["page_id"], row["url"], payload, row["digest"], row["winner"], row["first"])
@@ -231,7 +232,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tupl
     Of equal payloads of ``LEAST_REVISIT`` bytes or more the largest page id is the response.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(
+    rows = small_batches(pages).select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(html).alias("digest"),
         F.octet_length(html).alias("size"),
     )
@@ -239,10 +240,11 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tupl
     large = durable(known.filter(F.col("size") >= LEAST_REVISIT).select("digest", "page_id"))
     groups = equal_groups(large, "digest", "page_id").select("page_id", "digest", "winner")
     small = known.filter(F.col("size") < LEAST_REVISIT).select("page_id", "digest", F.col("page_id").alias("winner"))
-    told = groups.unionByName(small).toDF("told_id", "told_digest", "winner")
-    joined = rows.join(
-        told, F.col("page_id").eqNullSafe(F.col("told_id")) & (F.col("digest") == F.col("told_digest"))
-    ).dropDuplicates(["page_id", "digest"])
+    told = groups.unionByName(small)
+    told = told.select(null_safe(F.col("page_id"), F.col("digest")).alias("key"), "winner")
+    named = rows.withColumn("key", null_safe(F.col("page_id"), F.col("digest")))
+    # One key for the join and for what repeats, so that the payloads are shuffled once.
+    joined = named.join(told, "key").dropDuplicates(["key"])
     folder = _folder(pages, "warc")
     ready = joined.select(
         "page_id", "url", "html", "digest", "winner", F.col("page_id").eqNullSafe(F.col("winner")).alias("first")
