@@ -112,6 +112,22 @@ def test_near_takes_repeated_rows_and_null_ids(spark):
     assert kept.columns == ["doc_id", "text", "kept"] and sum(r["doc_id"] == 2 for r in kept.collect()) == 1
 
 
+def test_near_keeps_different_texts_under_no_id_or_one(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(30)) for name in "abcdefgh"]
+    rows = [(None, t) for t in texts[:3]] + [(3, t) for t in texts[3:6]] + [(None, ""), (3, None), (3, texts[3])]
+    # A near copy and another spelling go, and so does one under the same id.
+    rows += [(4, texts[4] + " x"), (4, texts[6]), (3, texts[5].upper()), (3, texts[5] + " y"), (2, texts[7]), (3, texts[7] + " z")]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near(docs).collect()]
+    assert len(kept) == len(set(kept))
+    assert {(i, t) for i, t in kept if i is None} == {(None, t) for t in [*texts[:3], ""]}
+    assert {(i, t) for i, t in kept if i != 3 and i} == {(4, texts[6]), (2, texts[7])}
+    of_three = [t for i, t in kept if i == 3]
+    assert len(of_three) == 4 and {texts[3], texts[4], None} < set(of_three)
+    found = {(r["component_id"], r["kept"]) for r in minhash.near_components(docs).filter("doc_id = 4").collect()}
+    assert found == {(3, False), (4, True)}
+
+
 def test_estimate_follows_the_true_similarity(spark):
     draw = np.random.default_rng(1)
     pool = draw.integers(0, 1 << 63, 4000, dtype=np.uint64)

@@ -77,6 +77,18 @@ def test_archives_are_one_stream_and_then_one_member_a_record(spark):
     assert sorted(r["payload_bytes"] for r in none) == [5, len(big)]
 
 
+def test_repeated_pages_have_a_record_each(spark):
+    big = "<p>" + "x" * 2000
+    rows = [(9, "a", big, ""), (9, "a", big, ""), (9, "b", big, ""), (1, "c", big, ""), (1, "c", big, ""), (3, "u", "small", ""),
+            (3, "u", "small", ""), (None, None, "no id", ""), (None, None, "no id", ""), (None, "", "no id", "")]
+    folder, archives = warc.write_archives(spark.createDataFrame(rows, PAGES))
+    target, index = warc.normalise(folder, archives)
+    assert len({r["record_id"] for r in index.collect()}) == len(rows)
+    got = [(r["page_id"] or -1, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_records(target, index).collect()]
+    want = [(9, "response", None, len(big))] * 3 + [(1, "revisit", 9, len(big))] * 2 + [(3, "response", None, 5)] * 2
+    assert sorted(got, key=repr) == sorted(want + [(-1, "response", None, 5)] * 3, key=repr)
+
+
 def test_no_pages_give_no_rows(spark):
     assert warc.archived_pages(spark.createDataFrame([], PAGES)).count() == 0
 

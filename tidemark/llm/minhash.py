@@ -17,8 +17,10 @@ So a group of n near copies costs about n confirmations and not n squared, and n
 that could join two components is left out.
 
 Null and empty texts have an empty set, are linked with nothing and keep their own id.
-Rows that repeat an id are judged as one document each and share a component. A document
-with a null id takes no part in links and is its own component (null, kept).
+A document is an id and a text: rows that repeat both are one document, and two texts under
+one id are two, each linked by its own set. Of documents with the component's id the least
+digest is kept. A document with a null id takes no part in links and is its own component
+(null, kept), unless a document with an id has the same set.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.rows import document_rows
+from tidemark.llm.rows import document_rows, keep_rows, text_digest
 from tidemark.llm.words import buffers, mix, shingle_sets, slices
 from tidemark.operators.ordered import durable
 
@@ -49,7 +51,7 @@ _BAND = _draw.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1
 _MARKS = _draw.integers(0, 1 << 64, 2, dtype=np.uint64)
 _SHIFTS = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, None, :]
 
-SIGNED = "doc_id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, bands array<bigint>, bits array<bigint>"
+SIGNED = "doc_id bigint, digest string, n_shingles bigint, mark_a bigint, mark_b bigint, bands array<bigint>, bits array<bigint>"
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -88,13 +90,14 @@ def _sign(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("digest"),
                         pa.array(count),
                         pa.array(marks[:, 0].copy().view(np.int64)),
                         pa.array(marks[:, 1].copy().view(np.int64)),
                         _lists(keys),
                         _lists(packed),
                     ],
-                    names=["doc_id", "n_shingles", "mark_a", "mark_b", "bands", "bits"],
+                    names=["doc_id", "digest", "n_shingles", "mark_a", "mark_b", "bands", "bits"],
                 )
 
     return signed
@@ -107,7 +110,7 @@ def _sets(size: int):
                 found = [s.view(np.int64) for s in shingle_sets(*buffers(part.column("text")), size)]
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "shingles"])
 
     return shingled
 
@@ -150,29 +153,39 @@ def near_components(
     Documents are linked if ``100 * |intersection| >= percent * |union|`` for their sets of
     ``size``-word shingles; the component is the least id that links reach.
     """
-    rows = document_rows(docs, id_col, text_col)
+    return _judged(docs, id_col, text_col, size, percent).drop("digest")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``near_components`` with the digest of each row's text."""
+    rows = document_rows(docs, id_col, text_col).withColumn("digest", text_digest(F.col("text")))
     signed = durable(rows.mapInArrow(_sign(size), SIGNED))
     alike = ["n_shingles", "mark_a", "mark_b"]
     classes = durable(
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy(*alike)
-        .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "bits"), "doc_id").alias("sketch"))
+        .agg(
+            F.min(F.struct("doc_id", "digest")).alias("first"),
+            F.min_by(F.struct("bands", "bits"), "doc_id").alias("sketch"),
+        )
+        # Ids may repeat among classes; the number tells them apart and is fixed by being written.
+        .withColumn("node", F.monotonically_increasing_id())
     )
     links = _links(rows, classes, size, percent)
-    found = components(links)
-    named = classes.join(found, "node", "left").select(
-        *alike, F.coalesce("component", "node").alias("component")
-    )
+    linked = classes.select("node", "first").join(components(links), "node")
+    leasts = linked.groupBy("component").agg(F.min("first").alias("least"))
+    found = linked.join(leasts, "component").select("node", "least")
+    named = classes.join(found, "node", "left").select(*alike, F.coalesce("least", "first").alias("least"))
     # The hot classes are few rows on one side, so adaptive execution can split the other.
     placed = signed.join(named, alike, "left")
-    component = F.when(
-        F.col("n_shingles") > 0, F.coalesce("component", "doc_id")
-    ).otherwise(F.col("doc_id"))
+    # An empty set, and one that only null ids have, is in no class.
+    least = F.coalesce("least", F.struct("doc_id", "digest"))
     return placed.select(
         "doc_id",
+        "digest",
         "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        least["doc_id"].alias("component_id"),
+        (F.col("doc_id").eqNullSafe(least["doc_id"]) & (F.col("digest") == least["digest"])).alias("kept"),
     )
 
 
@@ -203,14 +216,12 @@ def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     within = _bucket_pairs(small, small, floor)
     pairs = durable(to_hub.unionByName(within).distinct())
 
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    # Rows that repeat an id have one set each and the same id: one of them is enough.
+    wanted = members.select("node").distinct().join(classes, "node").select("first.doc_id", "first.digest", "node")
+    # Rows that repeat an id and a text have the same set: one of them is enough.
     sets = durable(
-        rows.join(wanted, "doc_id", "left_semi")
+        rows.join(wanted, ["doc_id", "digest"])
+        .select("node", "text")
         .mapInArrow(_sets(size), "node bigint, shingles array<bigint>")
-        .join(classes.select("node", "n_shingles"), "node")
-        .filter(F.size("shingles") == F.col("n_shingles"))
-        .select("node", "shingles")
     ).dropDuplicates(["node"])
     first = durable(_confirmed(pairs, sets, percent))
 
@@ -287,7 +298,5 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The contract's shingles are three words at 85 %; here, as in any stage on word
     shingles, five words at 80 %.
     """
-    from tidemark.llm.rows import keep_rows
-
-    found = near_components(docs, id_col, text_col, size=5, percent=80)
-    return keep_rows(docs, found.filter("kept").select(F.col("doc_id").alias("keep")), id_col)
+    found = _judged(docs, id_col, text_col, 5, 80).filter("kept")
+    return keep_rows(docs, found.select(F.col("doc_id").alias("keep"), "digest"), id_col, text_col)

@@ -36,13 +36,20 @@ def remainder(id_col: str, of: int) -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(of)).cast("int")
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is among ``decided.keep``, one row for each id.
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
-    Rows that repeat an id are one document. Ids may be null and match a null.
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``decided(keep, digest)``, one row for each.
+
+    Rows that repeat an id and a text are one document; two texts under one id are two. Ids
+    may be null and match a null.
     """
-    named = docs.withColumn("__key", null_safe(F.col(f"`{id_col}`")))
-    chosen = decided.select(null_safe(F.col("keep")).alias("__key"))
+    key = null_safe(F.col(f"`{id_col}`").cast("bigint"), text_digest(F.col(f"`{text_col}`")))
+    named = docs.withColumn("__key", key)
+    chosen = decided.select(null_safe(F.col("keep"), F.col("digest")).alias("__key"))
     # One key for the join and for what repeats, so that the texts are shuffled once.
     kept = named.join(chosen, "__key", "left_semi").dropDuplicates(["__key"])
     return kept.select(*[f"`{name}`" for name in docs.columns])

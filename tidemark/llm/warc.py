@@ -12,7 +12,8 @@ URI. A file's name holds the attempt that wrote it, and only files named by a fi
 are used, so a lost executor leaves unused files behind and nothing else.
 
 Null payloads are empty, null or odd URLs are written percent-encoded. Pages that repeat
-an id and a payload are one page; a null page id is written as no id and comes back null.
+an id and a payload have a numbered record each; revisits name the first of them. A null
+page id is written as no id and comes back null.
 An empty table gives no archives and no rows.
 """
 
@@ -60,13 +61,18 @@ def record_id(page: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
 
 
-def _record(page: int | None, url: str | None, payload: bytes, digest: str, winner: int | None, first: bool) -> bytes:
-    """One WARC record: a response with the payload, or a revisit that names its response."""
+def _record(
+    page: int | None, url: str | None, payload: bytes, digest: str, winner: int | None, first: bool, again: str = ""
+) -> bytes:
+    """One WARC record: a response with the payload, or a revisit that names its response.
+
+    ``again`` tells records of one page and payload apart; it is empty for the one revisits name.
+    """
     block = HTTP_HEAD + (payload if first else b"")
     base32 = base64.b32encode(bytes.fromhex(digest)).decode()
     head = {
         "WARC-Type": "response" if first else "revisit",
-        "WARC-Record-ID": record_id(page, digest),
+        "WARC-Record-ID": record_id(page, digest + again),
         "WARC-Date": DATE,
         "WARC-Target-URI": quote(url or "", safe="/:?&=%#~@!$'()*+,;[]"),
         "Content-Type": "application/http;msgtype=response",
@@ -107,7 +113,7 @@ def _writer(folder: str, size: int):
                     out, pack = store.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(6, zlib.DEFLATED, 31)
                     made.append([name, 0, 0])
                 payload = (row["html"] or "").encode()
-                record = _record(row["page_id"], row["url"], payload, row["digest"], row["winner"], row["first"])
+                record = _record(row["page_id"], row["url"], payload, row["digest"], row["winner"], row["first"], row["again"])
                 out.write(pack.compress(record))
                 made[-1][1] += 1
                 made[-1][2] += len(record)
@@ -236,19 +242,30 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tupl
         F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(html).alias("digest"),
         F.octet_length(html).alias("size"),
     )
-    known = durable(rows.select("page_id", "digest", "size").distinct())
-    large = durable(known.filter(F.col("size") >= LEAST_REVISIT).select("digest", "page_id"))
-    groups = equal_groups(large, "digest", "page_id").select("page_id", "digest", "winner")
-    small = known.filter(F.col("size") < LEAST_REVISIT).select("page_id", "digest", F.col("page_id").alias("winner"))
+    known = durable(
+        rows.groupBy("page_id", "digest", "size").agg(F.min(F.coalesce("url", F.lit(""))).alias("first_url"))
+    )
+    large = durable(known.filter(F.col("size") >= LEAST_REVISIT).select("digest", "page_id", "first_url"))
+    facts = ["page_id", "digest", "first_url", "winner"]
+    groups = equal_groups(large, "digest", "page_id").select(*facts)
+    small = known.filter(F.col("size") < LEAST_REVISIT).withColumn("winner", F.col("page_id")).select(*facts)
     told = groups.unionByName(small)
-    told = told.select(null_safe(F.col("page_id"), F.col("digest")).alias("key"), "winner")
+    told = told.select(null_safe(F.col("page_id"), F.col("digest")).alias("key"), "first_url", "winner")
     named = rows.withColumn("key", null_safe(F.col("page_id"), F.col("digest")))
     # One key for the join and for what repeats, so that the payloads are shuffled once.
-    joined = named.join(told, "key").dropDuplicates(["key"])
-    folder = _folder(pages, "warc")
-    ready = joined.select(
-        "page_id", "url", "html", "digest", "winner", F.col("page_id").eqNullSafe(F.col("winner")).alias("first")
+    held = ["page_id", "html", "digest", "first_url", "winner"]
+    joined = named.join(told, "key").groupBy("key", F.coalesce("url", F.lit("")).alias("url")).agg(
+        *[F.first(name).alias(name) for name in held], F.count(F.lit(1)).alias("times")
     )
+    # Equal rows meet as one with their number, and are told apart again here.
+    each = joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    known_as = (F.col("url") == F.col("first_url")) & (F.col("time") == 1)
+    again = F.when(known_as, "").otherwise(F.concat_ws(" ", F.lit(""), F.col("time").cast("string"), "url"))
+    folder = _folder(pages, "warc")
+    ready = each.select(
+        "page_id", "url", "html", "digest", "winner",
+        F.col("page_id").eqNullSafe(F.col("winner")).alias("first"), again.alias("again"),
+    )
     return folder, durable(ready.mapInArrow(_writer(folder, archive_bytes), _WRITTEN))
 
 
