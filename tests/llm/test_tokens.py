@@ -117,3 +117,33 @@ def test_seeds_and_variants_vary_the_pieces():
     assert len(made) > 8
     plain = len(model.encode(texts[:1], np.array([0]), 0.0, 1)[0])
     assert len(model.encode(texts[:1], np.array([0]), 1.0, 1)[0]) > plain
+
+
+def test_occurrences_of_a_word_vary_and_equal_a_merge_of_each(spark):
+    model, word = pieces.PieceModel.at(PIECES), "internationalisation"
+    rows = [(1, " ".join([word] * 1000)), *((i, word) for i in range(2, 1002)), *((None, f"{word} {i}") for i in range(300))]
+    encoded = pieces.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), PIECES)
+    told = sorted((r["doc_id"] or -1, r["text"]) for r in pieces.decode_documents(encoded, PIECES).collect())
+    assert told == sorted((i or -1, text) for i, text in rows)
+    made = encoded.collect()
+    single = {tuple(r["ids"]) for r in made if r["doc_id"] not in (1, None)}
+    ids = next(r["ids"] for r in made if r["doc_id"] == 1)
+    # Every word begins with the one piece that holds its mark.
+    begins = [k for k, i in enumerate(ids) if model.read[model.read_at[i]] == 32] + [len(ids)]
+    inside = {tuple(ids[a:b]) for a, b in zip(begins, begins[1:])}
+    unnamed = {tuple(r["ids"][: len(r["ids"]) - 2]) for r in made if r["doc_id"] is None}
+    assert len(begins) == 1001 and min(len(single), len(inside), len(unnamed)) > 50
+    # Shared or merged again, the pieces are those of merging every occurrence with its draws.
+    texts = ["the cat and the dog and the cat", "the the theory of the internationalisation of the"] * 3
+    got, at = model.encode(texts, np.arange(6), 0.3, 1)
+    whole = model._dropped
+
+    def each(spelled, skipped, lead, which, often):
+        return whole(spelled, skipped, np.arange(len(which)), np.arange(len(which)), np.ones(len(which), int))
+
+    model._dropped = each
+    try:
+        want, want_at = model.encode(texts, np.arange(6), 0.3, 1)
+    finally:
+        del model._dropped
+    assert got.tolist() == want.tolist() and at.tolist() == want_at.tolist()

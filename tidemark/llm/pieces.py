@@ -2,15 +2,15 @@
 
 The text gets a blank before it, blanks become word marks, and merges go by the model's
 scores, best first and leftmost among equals. With dropout every candidate merge is skipped
-if a keyed hash of the seed, the document's variant, the word, the place in the word and the
-merged piece falls below the rate, so a text's pieces can be computed again anywhere. With
-rate zero the ids are the library's own.
-
-A document's variant is a hash of its id, modulo ``VARIANTS``: equal words of documents of
-one variant share their pieces, and a slice's words are merged once.
+if a keyed hash of the seed, the document's id and text, the word's place in the text, the
+word, the place in the word and the merged piece falls below the rate: every occurrence of a
+word has draws of its own, and a text's pieces can be computed again anywhere. With rate zero
+the ids are the library's own.
 
 No piece joins two words, so a slice's distinct words are merged together on numpy
-matrices (``tidemark.llm.merges``). Characters without a piece become their UTF-8 bytes;
+matrices (``tidemark.llm.merges``), once and without dropout, and the candidates met are
+noted. An occurrence for which no draw hits one of them shares that result, for it would meet
+the same candidates; the others are merged again, each with its own draws. Characters without a piece become their UTF-8 bytes;
 so does the word mark itself when a text holds one, which the library would turn into a
 blank.
 
@@ -20,19 +20,18 @@ one, repeated ones alike. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.merges import PairTable, merge_words
+from tidemark.llm.merges import PairTable, Skip, merge_words
 from tidemark.llm.rows import small_batches
 from tidemark.llm.words import mix, slices
 
 MARK = "▁"
-VARIANTS = 8
 RATE = 0.1
 _STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -84,8 +83,11 @@ class PieceModel:
         self.read = np.frombuffer(b"".join(read), dtype=np.uint8)
         self.read_at = np.concatenate([[0], np.cumsum([len(r) for r in read])])
 
-    def encode(self, texts: list[str], variant: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts behind one another, and where each text's ids start."""
+    def encode(self, texts: list[str], keys: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind one another, and where each text's ids start.
+
+        ``keys`` has a number for each text, from which its draws are made.
+        """
         size = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), dtype=np.uint32)
@@ -101,27 +103,60 @@ class PieceModel:
         owner = np.searchsorted(begin, starts, side="right") - 1
         place = np.arange(len(symbols)) - np.repeat(starts, length)
         terms = mix((symbols.astype(np.uint64) + np.uint64(1)) * _STEP + place.astype(np.uint64) * _TURN)
-        key = np.add.reduceat(terms, starts) ^ mix(variant[owner].astype(np.uint64))
-        _, lead, which = np.unique(mix(key), return_index=True, return_inverse=True)
-        own = length[lead]
-        own_at = np.concatenate([[0], np.cumsum(own)])
-        chosen = symbols[np.repeat(starts[lead] - own_at[:-1], own) + np.arange(own_at[-1])]
-        skip = None
+        content = np.add.reduceat(terms, starts)
+        _, lead, which, often = np.unique(mix(content), return_index=True, return_inverse=True, return_counts=True)
+
+        def spelled(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = length[words]
+            own_at = np.concatenate([[0], np.cumsum(own)])
+            return symbols[np.repeat(starts[words] - own_at[:-1], own) + np.arange(own_at[-1])], own_at
+
         if rate > 0:
-            named = mix(key[lead] + np.uint64(seed * int(_TURN) & 0xFFFFFFFFFFFFFFFF))
+            told = mix(keys[owner].astype(np.uint64) + np.uint64(seed * int(_TURN) & 0xFFFFFFFFFFFFFFFF))
+            key = mix(told + (starts - begin[owner]).astype(np.uint64) * _STEP) ^ content
             below = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
 
-            def skip(number: np.ndarray, at: np.ndarray, merged: np.ndarray) -> np.ndarray:
-                drawn = named[number] + at.astype(np.uint64) * _STEP + merged.astype(np.uint64) * _TURN
-                return mix(drawn) < below
+            def skipped(word: np.ndarray, at: np.ndarray, merged: np.ndarray) -> np.ndarray:
+                return mix(key[word] + at.astype(np.uint64) * _STEP + merged.astype(np.uint64) * _TURN) < below
 
-        merged, merged_at = merge_words(self.table, chosen, own_at, skip)
+            merged, merged_at, which = self._dropped(spelled, skipped, lead, which, often)
+        else:
+            merged, merged_at = merge_words(self.table, *spelled(lead))
         merged, merged_at = self._bytes(merged, merged_at)
         count = np.diff(merged_at)[which]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = merged[np.repeat(merged_at[which] - total[:-1], count) + np.arange(total[-1])]
         return ids.astype(np.int32), total[np.searchsorted(starts, begin)]
 
+    def _dropped(
+        self, spelled: Callable, skipped: Skip, lead: np.ndarray, which: np.ndarray, often: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merged words, their starts, and which of them each occurrence is."""
+        none = np.zeros(0, np.int64)
+        seen = [(none, none, none)]
+
+        def note(number: np.ndarray, at: np.ndarray, merged: np.ndarray) -> np.ndarray:
+            seen.append((number, at, merged))
+            return np.zeros(len(at), dtype=bool)
+
+        shared = lead[often > 1]
+        merged, merged_at = merge_words(self.table, *spelled(shared), note)
+        number, at, piece = (np.concatenate(side) for side in zip(*seen))
+        order = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[order], np.arange(len(shared) + 1))
+        result = (np.cumsum(often > 1) - 1)[which]
+        alone = often[which] == 1
+        many = np.flatnonzero(~alone)
+        met = np.diff(bounds)[result[many]]
+        total = np.concatenate([[0], np.cumsum(met)])
+        asked = order[np.repeat(bounds[result[many]] - total[:-1], met) + np.arange(total[-1])]
+        word = np.repeat(many, met)
+        alone[word[skipped(word, at[asked], piece[asked])]] = True
+        own = np.flatnonzero(alone)
+        more, more_at = merge_words(self.table, *spelled(own), lambda k, at, merged: skipped(own[k], at, merged))
+        result[own] = len(shared) + np.arange(len(own))
+        return np.concatenate([merged, more]), np.concatenate([merged_at[:-1], merged_at[-1] + more_at]), result
+
     def _bytes(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the ids of its bytes in the place of every character without a piece."""
         odd = np.flatnonzero(symbols >= self.size)
@@ -159,9 +194,9 @@ def encode_documents(
     """``docs`` with the text replaced by ``ids``, an array of piece ids."""
     rest = [name for name in docs.columns if name not in (text_col, "ids")]
     fields = ", ".join(f"`{name}` {kind}" for name, kind in docs.select(*[f"`{n}`" for n in rest]).dtypes)
-    variant = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(VARIANTS))
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("|"), F.col(f"`{text_col}`"))
     rows = small_batches(docs).select(
-        *[f"`{n}`" for n in rest], F.col(f"`{text_col}`").alias("__text"), variant.alias("__variant")
+        *[f"`{n}`" for n in rest], F.col(f"`{text_col}`").alias("__text"), key.alias("__key")
     )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +204,7 @@ def encode_documents(
         for batch in batches:
             for part in slices(batch, "__text"):
                 texts = [text or "" for text in part.column("__text").to_pylist()]
-                ids, at = pieces.encode(texts, part.column("__variant").to_numpy(), rate, seed)
+                ids, at = pieces.encode(texts, part.column("__key").to_numpy(), rate, seed)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*_carried(part, rest), lists], names=[*rest, "ids"])
 
