@@ -6,12 +6,13 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import student
-from tidemark.operators import scoring, uncertainty
+from tidemark.operators import ranking, resampling, scoring, uncertainty
 
 DIFFERENCES = [0.14, 0.02, 0.16, 0.05, 0.08]
 
@@ -221,26 +222,120 @@ def bootstrap_rows(spark, groups=20, each=10):
     )
 
 
-def test_bootstrap_by_additivity_equals_materialised_resamples(spark):
+def materialised(frame, draws, key="group_id"):
+    """Every resample of a frame as the rows it drew, by plain loops."""
+    rows = frame.collect()
+    names = sorted({r[key] for r in rows})
+    for times in draws:
+        yield [r for r in rows for _ in range(times[names.index(r[key])])]
+
+
+@pytest.mark.parametrize("block", [1 << 15, 6])
+def test_bootstrap_by_additivity_equals_materialised_resamples(spark, monkeypatch, block):
+    monkeypatch.setattr(resampling, "BLOCK", block)
     frame = bootstrap_rows(spark)
     seed, resamples = 3, 40
-    found = uncertainty.cluster_bootstrap(frame, 2, resamples=resamples, seed=seed).head()
-    numbered = uncertainty.group_index(frame, ["model"], "group_id")
-    draws = uncertainty.draw_groups(numbered, resamples, seed)
-    copied = draws.join(numbered, ["groups", "draw"]).join(frame, ["model", "group_id"])
-    counted = scoring.confusion_counts(copied, ["resample"])
-    estimates = [r["macro_f1"] for r in scoring.count_metrics(counted, ["resample"], 2).collect()]
-    assert len(estimates) == resamples
-    low, high = np.percentile(estimates, [2.5, 97.5])
+    # The tasks have the module's own block, so several blocks are summed here.
+    times = resampling.group_times(20, 0, resamples, resamples, seed)
+    assert (times.sum(axis=1) == 20).all()
+    cells = [(0, 20, g, g % 2, 1 + g) for g in range(20)]
+    if block == 1 << 15:
+        found = uncertainty.cluster_bootstrap(frame, 2, resamples=resamples, seed=seed).head()
+        estimates = []
+        for rows in materialised(frame, times):
+            f1 = []
+            for k in (0, 1):
+                hit = sum(r["label"] == k == r["prediction"] for r in rows)
+                seen = sum((r["label"] == k) + (r["prediction"] == k) for r in rows)
+                f1.append(2 * hit / seen if seen else 0.0)
+            estimates.append(sum(f1) / 2)
+        low, high = np.percentile(estimates, [2.5, 97.5])
+        assert (found["low"], found["high"]) == (pytest.approx(low), pytest.approx(high))
+    want = {}
+    for b, row in enumerate(times):
+        for _, _, g, cell, n in cells:
+            want[b, cell] = want.get((b, cell), 0) + int(row[g]) * n
+    got = {}
+    for part in {g // block for _, _, g, _, _ in cells}:
+        for first in range(0, resamples, resampling.PART):
+            mine = [c for c in cells if c[2] // block == part]
+            columns = dict(zip(["slice", "groups", "draw", "cell", "n"], map(list, zip(*mine))))
+            table = pa.table({**columns, "block": [part] * len(mine), "first": [first] * len(mine)})
+            for r in resampling._summed(resamples, seed)(table).to_pylist():
+                got[r["resample"], r["cell"]] = got.get((r["resample"], r["cell"]), 0) + r["n"]
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_draws_over_blocks_are_a_multinomial(monkeypatch):
+    monkeypatch.setattr(resampling, "BLOCK", 8)
+    groups, resamples = 45, 4000
+    times = resampling.group_times(groups, 0, resamples, resamples, 11)
+    assert (times.sum(axis=1) == groups).all()
+    # Each count is binomial: mean 1, variance 1 - 1/G; two counts covary by -1/G.
+    assert times.mean(axis=0) == pytest.approx(1, abs=0.08)
+    assert times.var(axis=0).mean() == pytest.approx(1 - 1 / groups, abs=0.02)
+    covariance = np.cov(times.T)
+    assert (covariance.sum() - np.trace(covariance)) / (groups * (groups - 1)) == pytest.approx(-1 / groups, abs=0.003)
+    some = resampling.group_times(groups, 100, 200, resamples, 11)
+    assert (some == times[100:200]).all()
+    assert (resampling.group_times(groups, 0, resamples, resamples, 12) != times).any()
+
+
+@pytest.mark.parametrize("metric", ["roc_auc_ovr_macro", "average_precision_macro"])
+def test_ranking_bootstrap_equals_rescored_resamples(spark, metric, monkeypatch):
+    """A rare class is missing from many resamples: its scores are then dropped."""
+    draw = random.Random(8)
+    rows = []
+    for g in range(12):
+        for i in range(draw.randrange(1, 30)):
+            p = [draw.randrange(1, 9) for _ in range(3)]
+            label = 2 if g == 5 else draw.randrange(2)
+            rows.append(("m", f"{g}-{i:02d}", g, label, [x / sum(p) for x in p], 0))
+    frame = spark.createDataFrame(
+        rows, "model string, item_id string, group_id int, label int, probs array<double>, prediction int"
+    )
+    resamples, seed = 60, 5
+    found = uncertainty.cluster_bootstrap(frame, 3, metric=metric, resamples=resamples, seed=seed).head()
+    times = resampling.group_times(12, 0, resamples, resamples, seed)
+    assert len({bool(t[5]) for t in times}) == 2
+    copies = [
+        (str(b), f"{at}", r["label"], r["probs"])
+        for b, drawn in enumerate(materialised(frame, times))
+        for at, r in enumerate(drawn)
+    ]
+    rescored = spark.createDataFrame(copies, "model string, item_id string, label int, probs array<double>")
+    each = [r[metric] for r in scoring.ranking_metrics(rescored, ["model"], 3).collect()]
+    low, high = np.percentile([x for x in each if x is not None], [2.5, 97.5])
     assert (found["low"], found["high"]) == (pytest.approx(low), pytest.approx(high))
-    assert draws.groupBy("resample").count().filter("count <> 20").count() == 0
 
 
-def test_bootstrap_is_the_same_beyond_the_broadcast(spark, monkeypatch):
-    frame = bootstrap_rows(spark)
-    sent = uncertainty.cluster_bootstrap(frame, 2, resamples=50, seed=4).head()
-    monkeypatch.setattr(uncertainty, "SENT_CELLS", 0)
-    assert uncertainty.cluster_bootstrap(frame, 2, resamples=50, seed=4).head() == sent
+def test_chunks_end_where_a_score_ends(spark, monkeypatch):
+    """Many small chunks with long ties give the areas of one sort."""
+    draw = np.random.default_rng(2)
+    score, hit = draw.integers(0, 40, 5000) / 8.0, draw.integers(0, 2, 5000)
+    packed = []
+    monkeypatch.setattr(ranking, "CHUNK", 100)
+    for single in (True, False):
+        packer, chunks = ranking._Packer(single), []
+        order = np.argsort(-score, kind="stable")
+        for part in np.array_split(order, 37):
+            chunks += packer.add((1, 0), [score[part], part.astype(np.int32), hit[part], 1 - hit[part]])
+        chunks += packer.flush()
+        pos = np.concatenate([np.add.reduceat(c[3], np.concatenate([[0], c[5][:-1]])) for c in chunks])
+        packed.append(pos.tolist())
+        assert len(chunks) > 1
+    levels = sorted(set(score), reverse=True)
+    assert packed[0] == packed[1] == [int(hit[score == level].sum()) for level in levels]
+
+
+def test_slices_with_different_classes_in_one_bootstrap(spark):
+    two = bootstrap_rows(spark).withColumn("classes", F.lit(2))
+    five = two.withColumn("model", F.lit("five")).withColumn("classes", F.lit(5))
+    got = {r["model"]: r for r in uncertainty.cluster_bootstrap(two.unionByName(five), "classes", resamples=30).collect()}
+    alone = uncertainty.cluster_bootstrap(two.drop("classes"), 2, resamples=30).head()
+    assert got["m"].asDict() == alone.asDict()
+    for name in ("estimate", "low", "high"):
+        assert got["five"][name] == pytest.approx(alone[name] * 2 / 5)
 
 
 def test_bootstrap_over_items_is_narrower(spark):
@@ -255,7 +350,7 @@ def test_bootstrap_is_repeatable_and_needs_two_groups(spark):
         for f in (frame, frame.repartition(13))
     )
     assert once == again
-    with pytest.raises(Exception, match="fewer than two groups"):
+    with pytest.raises(Exception, match="two or more of them"):
         uncertainty.cluster_bootstrap(frame.filter("group_id = 0"), 2, resamples=5).collect()
 
 

@@ -18,15 +18,17 @@ from tidemark.operators.ordered import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Oracles that take minutes on more than the smallest tables; tests run them there.
+SLOW_ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, slow: bool = False):
     """Register a query under its operator id, with its oracle if it has one."""
 
     def register(function):
         QUERIES[name] = function
         if sql is not None:
-            ORACLES[name] = sql
+            (SLOW_ORACLES if slow else ORACLES)[name] = sql
         return function
 
     return register

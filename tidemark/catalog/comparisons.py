@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.catalog.audits import FIELDS, OUTCOMES
@@ -13,7 +14,6 @@ from tidemark.catalog.base import (
     SEGMENTS,
     add_cte,
     h,
-    wide,
     kept_items,
     predictions,
     query,
@@ -26,7 +26,7 @@ from tidemark.catalog.base import (
 from tidemark.catalog.scores import plain_metrics
 from tidemark.functions.hashing import stable_hash
 from tidemark.functions.student import t_quantile, t_tail
-from tidemark.operators import context, families, tables, uncertainty
+from tidemark.operators import context, families, resampling, tables, uncertainty
 from tidemark.operators.ordered import PART, Ordered, durable, shared_folder
 from tidemark.operators.scoring import summarise_folds
 from tidemark.plans import report
@@ -34,7 +34,7 @@ from tidemark.plans.registry import DEMO_SPECS, silent_models, spec_table
 from tidemark.sources import listing, results
 
 K = len(SEGMENTS)
-RESAMPLES, SEED = 200, 7
+RESAMPLES, SEED = uncertainty.RESAMPLES, 7
 SILENT = [m for m, (_, hears, _) in MODELS.items() if not hears]
 
 
@@ -238,6 +238,11 @@ def u14(spark, d):
 
 
 # --------------------------------------------------------------------------- bootstrap
+# The draws of one block of groups, which is all there is up to 32768 of them.
+_MASK = "4294967295::UBIGINT"
+_SALT = int(resampling.finish(np.array([SEED * resampling.SEEDED & 0xFFFFFFFF], dtype=np.uint32))[0])
+
+
 def _bootstrap_ctes(unit: str) -> None:
     add_cte(
         f"{unit}_numbers",
@@ -249,9 +254,13 @@ def _bootstrap_ctes(unit: str) -> None:
     add_cte(
         f"{unit}_draws",
         (f"{unit}_numbers",),
-        f"""SELECT groups, b AS resample, {wide(str(SEED), 'b', 'd')} % groups AS draw
-            FROM (SELECT DISTINCT groups, draw AS d FROM {unit}_numbers)
-            CROSS JOIN (SELECT range AS b FROM range({RESAMPLES}))""",
+        f"""SELECT groups, resample, (xor(h2, h2 >> 16) % groups)::BIGINT AS draw FROM (
+              SELECT *, (xor(h1, h1 >> 13) * {resampling.SECOND}::UBIGINT) & {_MASK} AS h2 FROM (
+                SELECT *, (xor(x, x >> 16) * {resampling.FIRST}::UBIGINT) & {_MASK} AS h1 FROM (
+                  SELECT groups, b::INT AS resample,
+                    xor((((b::UBIGINT << 16) + d::UBIGINT) & {_MASK})::UBIGINT, {_SALT}::UBIGINT) AS x
+                  FROM (SELECT DISTINCT groups, draw AS d FROM {unit}_numbers)
+                  CROSS JOIN (SELECT range AS b FROM range({RESAMPLES})))))""",
     )
     add_cte(
         f"{unit}_resampled",
@@ -325,15 +334,12 @@ def u6(spark, d):
     return rounded(both, "estimate", "group_width", "item_width", "ratio")
 
 
-RANKED = 20
-
-
 add_cte(
     "rank_weights",
     ("group_id_draws", "preds"),
-    f"""SELECT g.model, group_id, resample, count(*) AS times
+    """SELECT g.model, group_id, resample, count(*) AS times
         FROM group_id_numbers g JOIN group_id_draws d ON g.groups = d.groups AND g.draw = d.draw
-        WHERE resample < {RANKED} GROUP BY ALL
+        GROUP BY ALL
         UNION ALL SELECT model, group_id, -1, 1 FROM group_id_numbers""",
 )
 add_cte(
@@ -370,10 +376,11 @@ add_cte(
           FROM rank_resamples WHERE resample >= 0 GROUP BY model) i ON e.model = i.model""",
         "rank_resamples",
     ),
+    slow=True,
 )
 def u7(spark, d):
     found = uncertainty.cluster_bootstrap(
-        first_repeat(spark, d), K, metric="roc_auc_ovr_macro", resamples=RANKED, seed=SEED
+        first_repeat(spark, d), K, metric="roc_auc_ovr_macro", resamples=RESAMPLES, seed=SEED
     )
     return rounded(found, *_BOUNDS)
 

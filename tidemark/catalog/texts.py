@@ -30,13 +30,25 @@ from tidemark.operators.items import parse_identity
 from tidemark.sources import shards
 
 FLAGS = VOCABULARY.flag_names()
+# The vocabulary's terms in the order that they are looked for.
+_SEARCHED = [
+    ("call_ation", "ation"),
+    ("call_ther", "there"),
+    ("call_tion", "tion"),
+    ("call_ther", "ther"),
+    ("call_the", "the"),
+    ("call_an", "an"),
+    ("cond_le", "elle"),
+    ("cond_ing", "ing"),
+    ("cond_le", "le"),
+]
 
 
 def _tag_ctes() -> str:
     """One nested select per term, in search order, as the oracle of the fold."""
     body, taken = "SELECT *, lower(note) AS rest0 FROM raw_notes", 0
     hits: dict[str, list[str]] = {flag: [] for flag in FLAGS}
-    for flag, term in VOCABULARY.search_order():
+    for flag, term in _SEARCHED:
         body = (
             f"SELECT *, contains(rest{taken}, '{term}') AS hit{taken}, "
             f"replace(rest{taken}, '{term}', '{' ' * len(term)}') AS rest{taken + 1} FROM ({body})"

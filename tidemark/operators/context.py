@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import require_columns
@@ -41,20 +41,33 @@ def giveaway_labels(items: DataFrame, fields: Sequence[str]) -> DataFrame:
     """
     fields = [field for field in fields if field in items.columns]
     require_columns(items, "item_id", "class", *fields)
-    labelled = items.select("item_id", *[c for c in dict.fromkeys(["class", *fields])])
-    outcomes = {}
-    for field in fields:
-        counts = classes_per_value(items, field).withColumnRenamed("classes", f"__{field}")
-        labelled = lookup(labelled, counts, [field], "items", spread=["item_id"])
-        outcomes[field] = (
-            F.when(~recorded(items, field), ABSENT)
-            .when(F.col(f"__{field}") > 1, SHARED)
-            .otherwise(UNIQUE)
-        )
-    pairs = F.array(
-        *[F.struct(F.lit(f).alias("field"), o.alias("outcome")) for f, o in outcomes.items()]
+    values = F.array(
+        *[
+            F.struct(
+                F.lit(field).alias("field"),
+                F.when(recorded(items, field), _as_text(items, field)).alias("value"),
+            )
+            for field in fields
+        ]
     )
-    return labelled.select("item_id", F.inline(pairs))
+    # All fields are one column of values, so one aggregate and one join serve them all.
+    rows = items.select("item_id", "class", F.inline(values))
+    pairs = rows.filter("value is not null").groupBy("field", "value", "class").agg(F.count(F.lit(1)).alias("n"))
+    facts = pairs.groupBy("field", "value").agg(
+        (F.count(F.lit(1)) > 1).alias("__shared"), F.sum("n").alias("__items")
+    )
+    told = lookup(rows, facts, ["field", "value"], "__items", spread=["item_id"])
+    outcome = F.when(F.col("value").isNull(), ABSENT).when(F.col("__shared"), SHARED).otherwise(UNIQUE)
+    return told.select("item_id", "field", outcome.alias("outcome"))
+
+
+def _as_text(items: DataFrame, field: str) -> Column:
+    """A value as text, alike for values that are equal."""
+    kind = dict(items.dtypes)[field]
+    if kind == "binary":
+        return F.hex(field)
+    # Minus zero equals zero.
+    return (F.col(field) + F.lit(0).cast(kind) if kind in ("float", "double") else F.col(field)).cast("string")
 
 
 def field_giveaway(items: DataFrame, field: str, by: Sequence[str] = ()) -> DataFrame:

@@ -11,14 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import lookup
-from tidemark.operators.ordered import Ordered, durable
+from tidemark.operators import ranking, resampling
+from tidemark.operators.ordered import durable
 
 COUNT_METRICS = ("accuracy", "macro_f1", "weighted_f1")
-RANKING_METRICS = ("roc_auc_ovr_macro", "average_precision_macro")
+RANKING_METRICS = (ranking.AUC_NAME, ranking.AP_NAME)
 SPLIT = ("model", "repeat", "fold")
-# What a ranked score is for: both metrics, or one of them where classes are absent.
-_BOTH, _AUC, _AP = 0, 1, 2
 
 
 def predicted_class(probs: Column) -> Column:
@@ -115,19 +113,22 @@ def _f1() -> Column:
 
 
 def count_metrics(
-    counts: DataFrame, keys: Sequence[str], n_classes: int, scored: str | None = None
+    counts: DataFrame, keys: Sequence[str], n_classes: int | str, scored: str | None = None
 ) -> DataFrame:
     """Accuracy, macro-F1 and weighted-F1 per slice, from the counts alone.
 
     A class that never occurs scores zero and still divides the macro average.
-    ``scored`` may name an array column of the counts (constant per slice) with the
+    ``n_classes`` may name a column of the counts (constant per slice), so that slices with
+    different classes are scored in one job. ``scored`` may name an array column of the counts (constant per slice) with the
     class indices that enter the macro average instead.
     """
     keys = list(keys)
     carry = [] if scored is None else [scored]
+    if isinstance(n_classes, str):
+        carry.append(n_classes)
     per_class = class_counts(counts, [*keys, *carry]).withColumn("f1", _f1())
     if scored is None:
-        macro = F.sum("f1") / F.lit(float(n_classes))
+        macro = F.sum("f1") / (F.first(n_classes) if isinstance(n_classes, str) else F.lit(float(n_classes)))
     else:
         entering = F.array_contains(F.col(scored), F.col("class_index"))
         macro = _over(F.coalesce(F.sum(F.when(entering, F.col("f1"))), F.lit(0.0)), F.first(F.size(scored)))
@@ -159,91 +160,88 @@ def per_class(counts: DataFrame, keys: Sequence[str], class_names: Sequence[str]
 
 
 def ranking_metrics(
-    predictions: DataFrame, keys: Sequence[str], n_classes: int, weight: str | None = None
+    predictions: DataFrame,
+    keys: Sequence[str],
+    n_classes: int,
+    weight: str | None = None,
+    draws: ranking.Draws | None = None,
+    metric: str | None = None,
 ) -> DataFrame:
     """One-vs-rest ROC AUC and average precision, macro over the classes present.
 
-    Rows collapse to (slice, class, score) with positive and negative weight, so ties
-    are one row, and the ranks are running sums over range partitions: no slice has
-    to be sorted by one task. With absent classes, AUC drops their scores and
-    renormalises each row; with exactly two present it is the one binary AUC; with
-    fewer it is null, as is the average precision.
+    With absent classes, AUC drops their scores and renormalises each row; with exactly two
+    present it is the one binary AUC; with fewer it is null, as is the average precision.
+
+    With ``draws`` the result has a row for each ``resample`` too. ``predictions`` then has
+    ``unit`` and ``groups``, the number of the row's group and how many its slice has; a row weighs
+    as often as its group was drawn, and a class whose groups were not drawn is absent. ``metric``
+    may name the one that is wanted; the other is null.
     """
     keys = list(keys)
     mass = F.col(weight) if weight else F.lit(1)
-    classes = range(n_classes)
     # Slices are few; a number in place of their keys keeps the large rows fixed-width.
     slices = durable(
         predictions.groupBy(*keys)
         .agg(
-            F.sort_array(F.collect_set("label")).alias("__present"),
-            F.count(F.lit(1)).alias("__rows"),
+            F.sort_array(F.collect_set("label")).alias("present"),
+            *([F.max("groups").alias("groups")] if draws else []),
         )
-        .withColumn("__slice", F.monotonically_increasing_id())
-    )
-    present = F.col("__present")
-    rows = lookup(
-        predictions.select(
-            *keys,
-            "item_id",
-            "label",
-            mass.cast("bigint").alias("__mass"),
-            *[F.col("probs")[k].alias(f"__p{k}") for k in classes],
-        ),
-        slices,
-        keys,
-        "__rows",
-        spread=["item_id"],
-    ).filter(F.size(present) >= 2)
-
-    total = F.lit(0.0)
-    for k in classes:
-        total = total + F.when(F.array_contains(present, k), F.col(f"__p{k}")).otherwise(0.0)
-    entries = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.col(f"__p{k}").alias("__p")) for k in classes]
+        .withColumn("slice", F.monotonically_increasing_id())
     )
-    every = (F.size(present) == n_classes) & (F.size(present) > 2)
-    kinds = F.when(every, F.array(F.lit(_BOTH))).otherwise(F.array(F.lit(_AUC), F.lit(_AP)))
-    spread = rows.select(
-        "__slice",
-        "__present",
-        "label",
-        "__mass",
-        total.alias("__total"),
-        kinds.alias("__kinds"),
-        F.inline(entries),
-    ).filter(F.array_contains(present, F.col("k")))
-    spread = spread.withColumn("kind", F.explode("__kinds")).filter(
-        (F.col("kind") != _AUC) | (F.size(present) > 2) | (F.col("k") == present[1])
+    if draws is None:
+        scored = slices.select("slice", "present")
+    else:
+        found = _present_in_resamples(predictions, slices, keys, draws)
+        sizes = slices.select("slice", "groups")
+        scored = found.groupBy("slice", "present").agg(F.array_sort(F.collect_list("resample")).alias("resamples"))
+        scored = scored.join(sizes, "slice")
+    views = durable(
+        scored.filter(F.size("present") >= 2)
+        .withColumn("kind", F.explode(ranking.view_kinds(F.col("present"), n_classes)))
+        .withColumn("view", F.monotonically_increasing_id())
     )
-    share = F.when(F.col("__total") > 0, F.col("__p") / F.col("__total")).otherwise(
-        F.lit(1.0) / F.size(present)
+    # A slice has few views: they travel as one short array. Spark sends the slices to the
+    # rows while they are small, and else shuffles and splits what is skewed.
+    packed = (
+        views.groupBy("slice")
+        .agg(F.collect_list(F.struct("view", "kind", "present")).alias("views"))
+        .join(slices.select(*keys, "slice"), "slice")
     )
-    score = F.when(F.col("kind") == _AUC, share).otherwise(F.col("__p"))
-    mine = F.col("label") == F.col("k")
-    block = ["__slice", "kind", "k"]
-    cells = (
-        spread.withColumn("score", score)
-        .groupBy(*block, "score")
+    rows = predictions.select(
+        *keys,
+        "label",
+        F.col("unit") if draws else F.lit(-1).alias("unit"),
+        mass.cast("bigint").alias("mass"),
+        "probs",
+    ).join(packed, keys)
+    per_class = ranking.areas(ranking.entries(rows), views, draws, metric)
+    metrics = (
+        per_class.join(views.select("view", "slice", "kind"), "view")
+        .groupBy("slice", "resample")
         .agg(
-            F.sum(F.when(mine, F.col("__mass")).otherwise(0)).alias("pos"),
-            F.sum(F.when(mine, 0).otherwise(F.col("__mass"))).alias("neg"),
+            F.avg(F.when(F.col("kind") != ranking.AP, F.col("auc"))).alias(RANKING_METRICS[0]),
+            F.avg(F.when(F.col("kind") != ranking.AUC, F.col("ap"))).alias(RANKING_METRICS[1]),
         )
     )
-    laid = Ordered(cells, block, [("score", False)])
-    ranked = laid.running(
-        laid.frame, {"above_pos": ("sum", F.col("pos")), "above_neg": ("sum", F.col("neg"))}
-    )
-    won = F.sum(F.col("neg") * (F.col("above_pos") - F.col("pos") / 2))
-    precise = F.sum(F.col("pos") * F.col("above_pos") / (F.col("above_pos") + F.col("above_neg")))
-    per_label = ranked.groupBy(*block).agg(
-        (won / (F.sum("pos") * F.sum("neg"))).alias("auc"), (precise / F.sum("pos")).alias("ap")
+    named = slices.select(*keys, "slice")
+    if draws is None:
+        return named.join(metrics, "slice", "left").drop("slice", "resample")
+    every = found.select("slice", "resample")
+    return named.join(every.join(metrics, ["slice", "resample"], "left"), "slice").drop("slice")
+
+
+def _present_in_resamples(
+    predictions: DataFrame, slices: DataFrame, keys: Sequence[str], draws: ranking.Draws
+) -> DataFrame:
+    """``slice, resample, present``: the classes of the groups that each resample drew."""
+    held = predictions.groupBy(*keys, F.col("unit").alias("draw"), F.col("label").alias("cell")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    metrics = per_label.groupBy("__slice").agg(
-        F.avg(F.when(F.col("kind") != _AP, F.col("auc"))).alias(RANKING_METRICS[0]),
-        F.avg(F.when(F.col("kind") != _AUC, F.col("ap"))).alias(RANKING_METRICS[1]),
+    cells = held.join(slices.select(*keys, "slice", "groups"), list(keys))
+    counted = resampling.resampled_counts(cells, draws.resamples, draws.seed)
+    return durable(
+        counted.groupBy("slice", "resample").agg(F.sort_array(F.collect_set(F.col("cell").cast("int"))).alias("present"))
     )
-    return slices.select(*keys, "__slice").join(metrics, "__slice", "left").drop("__slice")
 
 
 def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import ComparisonError, require_columns
-from tidemark.functions.hashing import digest, hex_number
 from tidemark.functions.student import t_quantile, t_tail
-from tidemark.operators.joins import lookup, spread_out
+from tidemark.operators.joins import lookup
 from tidemark.operators.ordered import PART, Ordered, durable
+from tidemark.operators.ranking import Draws
+from tidemark.operators.resampling import resampled_counts
 from tidemark.operators.scoring import (
     COUNT_METRICS,
     confusion_counts,
@@ -21,8 +22,6 @@ from tidemark.operators.scoring import (
 
 RESAMPLES = 2000
 CONFIDENCE = 0.95
-# At most this many rows of a few numbers each are broadcast, about 40 MB.
-SENT_CELLS = 500_000
 
 
 # ------------------------------------------------------------------- paired comparison
@@ -178,7 +177,7 @@ def group_index(predictions: DataFrame, keys: Sequence[str], group: str) -> Data
     placed = laid.running(laid.frame, {"__rank": one})
     placed = laid.running(placed, {"__from": one}, reverse=True)
     groups = F.col("__rank") + F.col("__from") - 1
-    fail = F.raise_error(F.lit("cannot resample over fewer than two groups"))
+    fail = F.raise_error(F.lit("a bootstrap over groups needs two or more of them"))
     return placed.select(
         *keys,
         group,
@@ -187,27 +186,6 @@ def group_index(predictions: DataFrame, keys: Sequence[str], group: str) -> Data
     )
 
 
-def draw_groups(numbered: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """``(groups, resample, draw)``: as many draws with replacement as there are groups.
-
-    The draws depend on the number of groups only, so slices over the same groups
-    share them, and each numbered group stands for one draw per resample.
-    """
-    one_each = numbered.select("groups", F.col("draw").alias("__d")).distinct()
-    return (
-        spread_out(one_each, "groups", "__d")
-        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .select(
-            "groups",
-            "resample",
-            # 60 bits: every group can be drawn, and the remainder's bias is out of sight.
-            F.pmod(
-                hex_number(digest(F.lit(seed), F.col("resample"), F.col("__d")), 1, 15), F.col("groups")
-            ).alias("draw"),
-        )
-    )
-
-
 def _interval(estimates: DataFrame, keys: Sequence[str], metric: str, confidence: float):
     tail = (1 - confidence) / 2
     return estimates.groupBy(*keys).agg(
@@ -217,7 +195,7 @@ def _interval(estimates: DataFrame, keys: Sequence[str], metric: str, confidence
 
 def cluster_bootstrap(
     predictions: DataFrame,
-    n_classes: int,
+    n_classes: int | str,
     *,
     metric: str = "macro_f1",
     keys: Sequence[str] = ("model",),
@@ -228,43 +206,43 @@ def cluster_bootstrap(
 ) -> DataFrame:
     """Percentile interval of a metric when whole groups are drawn with replacement.
 
-    Confusion counts add up over groups, so each group is reduced to its few counts
-    once and a resample only sums the counts of the groups it drew; no row is ever
-    copied. Ranking metrics do not add up, so they are rescored with the number of
-    times each group was drawn as the weight of its rows.
+    Confusion counts add up over groups, so each group is reduced to its few counts once
+    and the tasks that hold them make the draws (``resampling``): only the sums of a resample
+    are shuffled. Ranking metrics do not add up; their rows are sorted once for all
+    resamples (``ranking``). Slices with as many groups share their draws.
+
+    ``n_classes`` is a number, or for count metrics the name of a column that tells it for each slice.
     """
     require_columns(predictions, group, "label", "prediction", *keys, error=ComparisonError)
     keys = list(keys)
     numbered = group_index(predictions, keys, group)
-    draws = draw_groups(numbered, resamples, seed)
     if metric in COUNT_METRICS:
-        cells = confusion_counts(predictions, [*keys, group])
-        cells = durable(cells.join(numbered, [*keys, group]))
-        # Each draw is summed where it is made if the counted cells are few enough to send
-        # everywhere. Otherwise draws and cells meet in a shuffle, and the hash tables are
-        # built from the cells of a partition.
-        few = cells.count() <= SENT_CELLS
-        counts = (
-            draws.join(cells.hint("broadcast" if few else "shuffle_hash"), ["groups", "draw"])
-            .groupBy(*keys, "resample", "label", "prediction")
-            .agg(F.sum("n").alias("n"))
+        carry = [n_classes] if isinstance(n_classes, str) else []
+        cells = confusion_counts(predictions, [*keys, *carry, group]).join(numbered, [*keys, group])
+        cells = durable(cells)
+        slices = durable(cells.select(*keys, *carry).distinct().withColumn("slice", F.monotonically_increasing_id()))
+        # A label is a small number, so a pair of them is one code.
+        coded = F.shiftleft(F.col("label").cast("bigint"), 32) + F.col("prediction")
+        summed = resampled_counts(cells.join(slices, [*keys, *carry]).withColumn("cell", coded), resamples, seed)
+        counts = summed.select(
+            "slice",
+            "resample",
+            F.shiftright("cell", 32).cast("int").alias("label"),
+            F.col("cell").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("prediction"),
+            "n",
         )
+        counts = counts.join(slices, "slice").drop("slice")
         estimates = count_metrics(counts, [*keys, "resample"], n_classes)
-        observed = count_metrics(confusion_counts(predictions, keys), keys, n_classes)
+        totals = cells.groupBy(*keys, *carry, "label", "prediction").agg(F.sum("n").alias("n"))
+        observed = count_metrics(totals, keys, n_classes)
     else:
         require_columns(predictions, "probs", error=ComparisonError)
-        times = draws.groupBy("groups", "resample", "draw").agg(F.count(F.lit(1)).alias("times"))
-        # A group becomes one short array of (resample, times); its rows expand from it.
-        plans = times.groupBy("groups", "draw").agg(
-            F.collect_list(F.struct("resample", "times")).alias("plan")
-        )
         sizes = predictions.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("__rows"))
-        plans = numbered.join(plans, ["groups", "draw"]).join(sizes, [*keys, group])
-        plans = plans.select(*keys, group, "plan", "__rows")
-        rows = lookup(predictions, plans, [*keys, group], "__rows", spread=["item_id"], how="inner")
-        rows = rows.select(*keys, "item_id", "label", "probs", F.inline("plan"))
-        estimates = ranking_metrics(rows, [*keys, "resample"], n_classes, weight="times")
-        observed = ranking_metrics(predictions, keys, n_classes)
+        named = numbered.join(sizes, [*keys, group]).withColumnRenamed("draw", "unit")
+        rows = lookup(predictions, named, [*keys, group], "__rows", spread=["item_id"], how="inner")
+        rows = durable(rows.select(*keys, "item_id", "label", "probs", "unit", "groups"))
+        estimates = ranking_metrics(rows, keys, n_classes, draws=Draws(resamples, seed), metric=metric)
+        observed = ranking_metrics(rows, keys, n_classes, metric=metric)
     groups = numbered.groupBy(*keys).agg(F.max("groups").alias("groups"))
     return (
         observed.select(*keys, F.col(metric).alias("estimate"))
