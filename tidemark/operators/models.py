@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import StandardScaler
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.errors import TidemarkError
+from tidemark.errors import SplitError, TidemarkError
 from tidemark.functions.hashing import stable_hash
+from tidemark.operators import probes
 from tidemark.operators.controls import class_weights
 from tidemark.operators.ordered import durable
 from tidemark.operators.scoring import (
@@ -27,7 +26,8 @@ from tidemark.operators.scoring import (
 )
 
 Predict = Callable[[DataFrame], DataFrame]
-# fit(train, validation, n_classes) -> predictor; train carries ``weight``.
+# fit(train, validation, n_classes) -> predictor; train carries ``weight``. An object with
+# ``fit_all(planned, n_classes, splits)`` serves all splits at once instead.
 Fit = Callable[[DataFrame, DataFrame, int], Predict]
 
 
@@ -41,46 +41,65 @@ def _with_probs(df: DataFrame, probs: Column) -> DataFrame:
     )
 
 
-def _macro_f1(scored: DataFrame, n_classes: int) -> float:
-    best = F.array_position("probs", F.array_max("probs")) - 1
-    counts = confusion_counts(scored.withColumn("prediction", best.cast("int")), [])
-    return count_metrics(counts, [], n_classes).head()["macro_f1"] or 0.0
+class Probes:
+    """Linear softmax on standardised features, fitted for all splits at once (``probes``).
 
+    Centre and scale come from each split's training rows alone; a constant column scales to
+    0. Of several penalties each split takes the best on its validation rows.
+    """
 
-def fit_probe(penalties: Sequence[float] = (0.01, 0.1), max_iter: int = 50) -> Fit:
-    """Linear softmax on standardised features; the penalty is picked on validation.
+    def __init__(self, penalties: Sequence[float], max_iter: int):
+        self.penalties, self.max_iter = list(penalties), max_iter
 
-    Centre and scale come from the training rows alone; a constant column scales to 0.
-    """
+    def fit_all(self, planned: DataFrame, n_classes: int, splits: Sequence[tuple[int, int]]) -> "FittedProbes":
+        rows = with_parts(planned, splits)
+        _refuse_empty(rows, splits)
+        matrix, offset = probes.fit_probes(rows, len(splits), n_classes, self.penalties, self.max_iter)
+        return FittedProbes(splits, matrix, offset)
 
-    def fit(train: DataFrame, validation: DataFrame, n_classes: int) -> Predict:
-        ready = _vectors(train)
-        scaler = StandardScaler(
-            withMean=True, withStd=True, inputCol="__vector", outputCol="__scaled"
-        ).fit(ready)
-        scaled = scaler.transform(ready)
-
-        def predictor(model) -> Predict:
-            return lambda df: _with_probs(
-                model.transform(scaler.transform(_vectors(df))), vector_to_array("probability")
-            )
 
-        fitted = []
-        for penalty in penalties:
-            model = LogisticRegression(
-                featuresCol="__scaled",
-                weightCol="weight",
-                family="multinomial",
-                regParam=penalty,
-                maxIter=max_iter,
-                standardization=False,
-            ).fit(scaled)
-            fitted.append(predictor(model))
-        if len(fitted) == 1:
-            return fitted[0]
-        return max(fitted, key=lambda predict: _macro_f1(predict(validation), n_classes))
+class FittedProbes(dict):
+    """``{(repeat, fold): predict}``, and all test parts scored in one scan."""
 
-    return fit
+    def __init__(self, splits: Sequence[tuple[int, int]], matrix, offset):
+        self.splits, self.matrix, self.offset = list(splits), matrix, offset
+        for number, split in enumerate(self.splits):
+            own = matrix[number : number + 1], offset[number : number + 1]
+            self[split] = lambda df, own=own: probes.with_probs(df, *own)
+
+    def tested(self, planned: DataFrame) -> DataFrame:
+        """Each window once for each split that tests it, numbered by ``__split``."""
+        rows = with_parts(planned, self.splits).drop(PLAN)
+        numbered = rows.withColumn("__splits", F.transform(probes.PARTS, lambda part, i: F.when(part == probes.TEST, i)))
+        wanted = F.filter("__splits", lambda i: i.isNotNull())
+        stamps = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(f).alias("fold")) for r, f in self.splits])
+        stamp = stamps[F.col("__split")]
+        rows = numbered.withColumn("__split", F.explode(wanted))
+        return rows.drop(probes.PARTS, "__splits").withColumns({"repeat": stamp["repeat"], "fold": stamp["fold"]})
+
+    def predict_all(self, planned: DataFrame) -> DataFrame:
+        scored = probes.with_probs(self.tested(planned), self.matrix, self.offset, "__split")
+        return scored.drop("__split")
+
+
+def fit_probe(penalties: Sequence[float] = (0.01, 0.1), max_iter: int = 50) -> Probes:
+    """Linear softmax on standardised features; the penalty is picked on validation."""
+    return Probes(penalties, max_iter)
+
+
+def with_parts(planned: DataFrame, splits: Sequence[tuple[int, int]]) -> DataFrame:
+    """The part of each window's item in every split, as one short array of numbers."""
+    names = ("train", "validation", "test")
+    told = F.create_map(*[F.lit(x) for pair in zip(names, (probes.TRAIN, probes.VALIDATION, probes.TEST)) for x in pair])
+    part = [F.coalesce(told[F.col(PLAN)[_split_key(r, f)]], F.lit(0)).cast("tinyint") for r, f in splits]
+    return planned.withColumn(probes.PARTS, F.array(*part))
+
+
+def _refuse_empty(rows: DataFrame, splits: Sequence[tuple[int, int]]) -> None:
+    trained = [F.count_if(F.col(probes.PARTS)[i] == probes.TRAIN).alias(f"s{i}") for i in range(len(splits))]
+    for (repeat, fold), count in zip(splits, rows.agg(*trained).head()):
+        if not count:
+            raise TidemarkError(f"repeat {repeat} fold {fold} has no training windows")
 
 
 def fit_trees(**settings) -> Fit:
@@ -164,11 +183,17 @@ def _split_key(repeat, fold) -> Column:
 def with_plan(windows: DataFrame, folds: DataFrame) -> DataFrame:
     """Each window once, with a map from "repeat:fold" to the part its item has there.
 
-    A plan has one short entry per split, so features are never copied for a fold.
+    A plan has one short entry per split, so features are never copied for a fold. Windows
+    whose item has no plan are counted by the write itself and fail it.
     """
     entry = F.struct(_split_key(F.col("repeat"), F.col("fold")).alias("split"), F.col("part"))
     plans = folds.groupBy("item_id").agg(F.map_from_entries(F.collect_set(entry)).alias(PLAN))
-    return durable(windows.join(plans, "item_id"))
+    seen = Observation()
+    watched = windows.join(plans, "item_id", "left").observe(seen, F.count_if(F.col(PLAN).isNull()).alias("loose"))
+    planned = durable(watched)
+    if seen.get["loose"]:
+        raise SplitError(f"{seen.get['loose']} windows belong to items that the folds do not have")
+    return planned
 
 
 def in_part(planned: DataFrame, repeat: int, fold: int, part: str) -> DataFrame:
@@ -180,8 +205,13 @@ def in_part(planned: DataFrame, repeat: int, fold: int, part: str) -> DataFrame:
 def fit_folds(
     windows: DataFrame, folds: DataFrame, fit: Fit, n_classes: int, splits: Sequence[tuple[int, int]]
 ) -> dict[tuple[int, int], Predict]:
-    """Fit one model per (repeat, fold) on that fold's training windows."""
-    planned = with_plan(windows, folds)
+    """Fit one model per (repeat, fold) on that fold's training windows.
+
+    ``windows`` may carry its plan already. A fit that knows all splits at once is asked once.
+    """
+    planned = windows if PLAN in windows.columns else with_plan(windows, folds)
+    if hasattr(fit, "fit_all"):
+        return fit.fit_all(planned, n_classes, splits)
     # Only labels are listed per split, and at once counted.
     listed = planned.select("label", F.explode(PLAN).alias("split", "part")).filter("part = 'train'")
     weights = durable(class_weights(listed, n_classes, keys=["split"]))
@@ -204,7 +234,9 @@ def predict_folds(
     windows: DataFrame, folds: DataFrame, fitted: dict[tuple[int, int], Predict], model: str
 ) -> DataFrame:
     """Window scores of every fold's model on its own test items, stamped."""
-    planned = with_plan(windows, folds)
+    planned = windows if PLAN in windows.columns else with_plan(windows, folds)
+    if hasattr(fitted, "predict_all"):
+        return fitted.predict_all(planned).withColumn("model", F.lit(model))
     parts = [
         predict(in_part(planned, repeat, fold, "test"))
         for (repeat, fold), predict in fitted.items()
@@ -280,9 +312,76 @@ def occlusion(
     frequencies: Sequence[float],
     groups: int = 8,
 ) -> DataFrame:
-    """What the score loses when each band is hidden, for all bands in one job."""
-    n_classes, keys = len(class_names), ["low", "high"]
-    items = roll_up_windows(predict(hide_bands(tested, n_bins, groups)), n_classes, keys)
+    """What the score loses when each band is hidden, for all bands in one job, by any model."""
+    return _occluded(predict(hide_bands(tested, n_bins, groups)), [], class_names, frequencies)
+
+
+def occlusion_by_sums(
+    tested: DataFrame,
+    matrix: np.ndarray,
+    offset: np.ndarray,
+    n_bins: int,
+    class_names: Sequence[str],
+    frequencies: Sequence[float],
+    groups: int = 8,
+    keys: Sequence[str] = (),
+    split: str | None = None,
+) -> DataFrame:
+    """The same of a linear model, whose score without a band is its score less the band's share.
+
+    ``matrix`` (models, features, classes) and ``offset`` have a model for each number in the column
+    ``split``. Features are read once; only class scores leave the task, in a row for each band.
+    """
+    keys = list(keys)
+    width, n_classes = matrix.shape[1], matrix.shape[2]
+    cuts = [round(i * (n_bins / groups)) for i in range(groups)] + [n_bins]
+    bands = [(-1, -1)] + [(low, high) for low, high in zip(cuts, cuts[1:]) if high > low]
+    frames = width // n_bins
+
+    def hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            probs = np.zeros((n, len(bands), n_classes))
+            x = probes.batch_matrix(batch, "features") if n else np.zeros((0, width))
+            own = batch.column(split).to_numpy() if split else np.zeros(n, dtype=int)
+            for one in np.unique(own):
+                mine = own == one
+                whole = x[mine] @ matrix[one] + offset[one]
+                for b, (low, high) in enumerate(bands):
+                    part = slice(low * frames, high * frames) if high >= 0 else slice(0, 0)
+                    probs[mine, b] = probes.softmax(whole - x[mine, part] @ matrix[one][part])
+            kept = batch.drop_columns(["features"]).take(pa.array(np.repeat(np.arange(n), len(bands))))
+            told = [pa.array(np.tile([band[i] for band in bands], n), pa.int32()) for i in (0, 1)]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.arange(n * len(bands) + 1, dtype=np.int32) * n_classes), pa.array(probs.ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, *told, lists], names=[*kept.schema.names, "low", "high", "probs"]
+            )
+
+    needed = list(dict.fromkeys([*keys, "item_id", "group_id", "class", "label", *([split] if split else [])]))
+    slim = tested.select(*needed, "features")
+    scored = slim.mapInArrow(
+        hidden,
+        T.StructType(
+            [
+                *slim.drop("features").schema.fields,
+                T.StructField("low", T.IntegerType()),
+                T.StructField("high", T.IntegerType()),
+                T.StructField("probs", T.ArrayType(T.DoubleType())),
+            ]
+        ),
+    )
+    return _occluded(scored, keys, class_names, frequencies)
+
+
+def _occluded(
+    scored: DataFrame, slices: Sequence[str], class_names: Sequence[str], frequencies: Sequence[float]
+) -> DataFrame:
+    """Scores of every band and what they lose against the untouched rows (band -1)."""
+    slices, n_classes = list(slices), len(class_names)
+    keys = [*slices, "low", "high"]
+    items = roll_up_windows(scored, n_classes, keys)
     counts = confusion_counts(items, keys)
     recalls = per_class(counts, keys, class_names).groupBy(*keys).pivot(
         "class", list(class_names)
@@ -290,14 +389,15 @@ def occlusion(
     recalls = recalls.select(*keys, *[F.col(n).alias(f"recall_{n}") for n in class_names])
     scores = count_metrics(counts, keys, n_classes).drop("n_items", "weighted_f1").join(recalls, keys)
     names = [c for c in scores.columns if c not in keys]
-    # The untouched row is one of at most groups + 1 rows.
-    whole = Window.partitionBy(F.lit(0))
+    # A slice is one row for each band, and one untouched.
+    whole = Window.partitionBy(*(slices or [F.lit(0)]))
     for name in names:
         base = F.max(F.when(F.col("low") == -1, F.col(name))).over(whole)
         scores = scores.withColumn(f"{name}_drop", base - F.col(name))
     hz = F.array(*[F.lit(float(f)) for f in frequencies])
     low_hz, high_hz = hz[F.col("low")], hz[F.col("high") - 1]
     return scores.filter("low >= 0").select(
+        *slices,
         F.col("low").alias("band_low_bin"),
         F.col("high").alias("band_high_bin"),
         low_hz.alias("band_low_hz"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.errors import TidemarkError
 from tidemark.operators import models, scoring
 from tidemark.operators.ordered import durable
-from tidemark.operators.splits import item_parts, items_from_windows
+from tidemark.operators.splits import check_folds, item_parts, items_from_windows
+from tidemark.operators.windows import extract_complete
 from tidemark.parameters import Split
 
 
@@ -29,6 +30,21 @@ def folds_for(windows: DataFrame, split: Split) -> DataFrame:
     )
 
 
+def planned_windows(
+    windows: DataFrame, split: Split, kept: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The checked folds, and the windows written once with their plan.
+
+    Folds that part a group or leave an item out are refused, and so are kept items without
+    windows, and windows that the plan does not know.
+    """
+    if kept is not None:
+        extract_complete(kept, windows)
+    folds = durable(folds_for(windows, split))
+    check_folds(items_from_windows(windows), folds, split.repeats * split.n_folds)
+    return folds, models.with_plan(windows, folds)
+
+
 def cross_validate(
     windows: DataFrame,
     class_names: Sequence[str],
@@ -37,17 +53,18 @@ def cross_validate(
     model: str,
     *,
     ranking: bool = True,
+    kept: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Predictions and metrics of one model over every (repeat, fold).
 
-    ``windows`` has ``item_id, group_id, class, label, window_index, features``. The
-    driver loops over fits only; data, predictions and scores stay distributed.
+    ``windows`` has ``item_id, group_id, class, label, window_index, features``. The windows
+    are written once, with the part of their item in every split; models, predictions
+    and scores stay distributed. With ``kept``, items that produced no window fail the plan.
     """
-    windows = durable(windows)
-    folds = durable(folds_for(windows, split))
+    folds, planned = planned_windows(windows, split, kept)
     pairs = fold_pairs(split)
-    fitted = models.fit_folds(windows, folds, fit, len(class_names), pairs)
-    scored = durable(models.predict_folds(windows, folds, fitted, model).drop("features"))
+    fitted = models.fit_folds(planned, folds, fit, len(class_names), pairs)
+    scored = durable(models.predict_folds(planned, folds, fitted, model).drop("features"))
     covered = scored.select("repeat", "fold").distinct().count()
     if covered < len(pairs):
         raise TidemarkError(f"{len(pairs) - covered} folds have no test windows")
