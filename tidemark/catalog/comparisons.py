@@ -31,7 +31,7 @@ from tidemark.operators.ordered import PART, Ordered, durable, shared_folder
 from tidemark.operators.scoring import summarise_folds
 from tidemark.plans import report
 from tidemark.plans.registry import DEMO_SPECS, silent_models, spec_table
-from tidemark.sources import listing, results
+from tidemark.sources import listing, results, sets
 
 K = len(SEGMENTS)
 RESAMPLES, SEED = uncertainty.RESAMPLES, 7
@@ -243,56 +243,65 @@ _MASK = "4294967295::UBIGINT"
 _SALT = int(resampling.finish(np.array([SEED * resampling.SEEDED & 0xFFFFFFFF], dtype=np.uint32))[0])
 
 
-def _bootstrap_ctes(unit: str) -> None:
+def _bootstrap_ctes(unit: str, source: str = "preds", classes: int = K, prefix: str = "") -> None:
     add_cte(
-        f"{unit}_numbers",
-        ("preds",),
+        f"{prefix}{unit}_numbers",
+        (source,),
         f"""SELECT model, {unit}, count(*) OVER (PARTITION BY model) AS groups,
               row_number() OVER (PARTITION BY model ORDER BY {unit}) - 1 AS draw
-            FROM (SELECT DISTINCT model, {unit} FROM preds)""",
+            FROM (SELECT DISTINCT model, {unit} FROM {source})""",
     )
     add_cte(
-        f"{unit}_draws",
-        (f"{unit}_numbers",),
+        f"{prefix}{unit}_draws",
+        (f"{prefix}{unit}_numbers",),
         f"""SELECT groups, resample, (xor(h2, h2 >> 16) % groups)::BIGINT AS draw FROM (
               SELECT *, (xor(h1, h1 >> 13) * {resampling.SECOND}::UBIGINT) & {_MASK} AS h2 FROM (
                 SELECT *, (xor(x, x >> 16) * {resampling.FIRST}::UBIGINT) & {_MASK} AS h1 FROM (
                   SELECT groups, b::INT AS resample,
                     xor((((b::UBIGINT << 16) + d::UBIGINT) & {_MASK})::UBIGINT, {_SALT}::UBIGINT) AS x
-                  FROM (SELECT DISTINCT groups, draw AS d FROM {unit}_numbers)
+                  FROM (SELECT DISTINCT groups, draw AS d FROM {prefix}{unit}_numbers)
                   CROSS JOIN (SELECT range AS b FROM range({RESAMPLES})))))""",
     )
     add_cte(
-        f"{unit}_resampled",
-        (f"{unit}_draws", "preds"),
+        f"{prefix}{unit}_resampled",
+        (f"{prefix}{unit}_draws", source),
         f"""SELECT model, resample, label, prediction, sum(n) AS n
-            FROM {unit}_draws JOIN
+            FROM {prefix}{unit}_draws JOIN
               (SELECT g.model, groups, draw, label, prediction, count(*) AS n
-               FROM {unit}_numbers g JOIN preds p ON g.model = p.model AND g.{unit} = p.{unit}
+               FROM {prefix}{unit}_numbers g JOIN {source} p ON g.model = p.model AND g.{unit} = p.{unit}
                WHERE repeat = 0 GROUP BY ALL) USING (groups, draw) GROUP BY ALL""",
     )
-    scored = """SELECT {keys}, sum(CASE WHEN pr + ac > 0 THEN 2 * tp / (pr + ac)::DOUBLE ELSE 0 END)
-                  / 5 AS macro_f1 FROM (
-                SELECT {keys}, k, sum(n) FILTER (WHERE side = 'a') AS ac,
+    scored = f"""SELECT {{keys}}, sum(CASE WHEN pr + ac > 0 THEN 2 * tp / (pr + ac)::DOUBLE ELSE 0 END)
+                  / {classes} AS macro_f1 FROM (
+                SELECT {{keys}}, k, sum(n) FILTER (WHERE side = 'a') AS ac,
                   sum(n) FILTER (WHERE side = 'p') AS pr,
                   coalesce(sum(n) FILTER (WHERE side = 'a' AND hit), 0) AS tp
-                FROM (SELECT {keys}, label AS k, n, 'a' AS side, label = prediction AS hit FROM {source}
-                      UNION ALL SELECT {keys}, prediction, n, 'p', FALSE FROM {source})
-                GROUP BY {keys}, k) GROUP BY {keys}"""
+                FROM (SELECT {{keys}}, label AS k, n, 'a' AS side, label = prediction AS hit FROM {{source}}
+                      UNION ALL SELECT {{keys}}, prediction, n, 'p', FALSE FROM {{source}})
+                GROUP BY {{keys}}, k) GROUP BY {{keys}}"""
+    observed = f"(SELECT model, label, prediction, count(*) AS n FROM {source} WHERE repeat = 0 GROUP BY ALL)"
     add_cte(
-        f"{unit}_interval",
-        (f"{unit}_resampled",),
+        f"{prefix}{unit}_interval",
+        (f"{prefix}{unit}_resampled",),
         f"""SELECT e.model, e.macro_f1 AS estimate, low, high,
-              (SELECT any_value(groups) FROM {unit}_numbers g WHERE g.model = e.model) AS groups
-            FROM ({scored.format(keys="model", source="(SELECT model, label, prediction, count(*) AS n FROM preds WHERE repeat = 0 GROUP BY ALL)")}) e
+              (SELECT any_value(groups) FROM {prefix}{unit}_numbers g WHERE g.model = e.model) AS groups
+            FROM ({scored.format(keys="model", source=observed)}) e
             JOIN (SELECT model, quantile_cont(macro_f1, 0.025) AS low, quantile_cont(macro_f1, 0.975) AS high
-                  FROM ({scored.format(keys="model, resample", source=f"{unit}_resampled")})
+                  FROM ({scored.format(keys="model, resample", source=f"{prefix}{unit}_resampled")})
                   GROUP BY model) i ON e.model = i.model""",
     )
 
 
 _bootstrap_ctes("group_id")
 _bootstrap_ctes("item_id")
+# A family of two classes beside the main one: is it the first class or another?
+add_cte(
+    "bin_preds",
+    ("preds",),
+    """SELECT 'first_' || model AS model, repeat, fold, item_id, group_id, (label = 0)::INT AS label,
+         (prediction = 0)::INT AS prediction FROM preds WHERE model IN ('a', 'meta')""",
+)
+_bootstrap_ctes("group_id", "bin_preds", 2, "bin_")
 _BOUNDS = ["estimate", "low", "high"]
 _INTERVAL = ", ".join(f"{r6(n)} AS {n}" for n in _BOUNDS)
 
@@ -394,6 +403,79 @@ def u11(spark, d):
     return rounded(found, *_BOUNDS)
 
 
+def two_families(spark, d):
+    """Predictions of a five-class and a two-class family, and the families with their classes.
+
+    The classes come from the committed result sets, as they would for results of other runs.
+    """
+    rows = stored_predictions(spark, d)
+    first = rows.filter(F.col("model").isin("a", "meta")).withColumns(
+        {
+            "model": F.concat(F.lit("first_"), "model"),
+            "label": (F.col("label") == 0).cast("int"),
+            "prediction": (F.col("prediction") == 0).cast("int"),
+        }
+    )
+    root = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    slim = ["repeat", "fold", "item_id", "group_id", "label", "prediction"]
+    for model in MODELS:
+        own = rows.filter(F.col("model") == model).select(*slim)
+        sets.commit_set({"predictions": own}, root, "orders", model, classes=SEGMENTS)
+    for model in ("first_a", "first_meta"):
+        own = first.filter(F.col("model") == model).select(*slim)
+        sets.commit_set({"predictions": own}, root, "orders", model, classes=["rest", SEGMENTS[0]])
+    told = sets.committed(spark, root, "orders")
+    roles = [("species", m, "control" if m == "meta" else "member") for m in MODELS]
+    roles += [("first", "first_a", "member"), ("first", "first_meta", "control")]
+    known = spark.createDataFrame(roles, "family string, model string, role string")
+    return sets.read_sets(spark, root, "predictions", config="orders"), families.with_class_lists(known, told)
+
+
+@query(
+    "U11_family_classes",
+    sql(
+        f"""SELECT 'species' AS family, model, {_INTERVAL}, groups FROM group_id_interval UNION ALL
+            SELECT 'first', model, {_INTERVAL}, groups FROM bin_group_id_interval""",
+        "group_id_interval",
+        "bin_group_id_interval",
+    ),
+)
+def u11_classes(spark, d):
+    """Families of five and of two classes, each scored over its own classes in one job."""
+    rows, known = two_families(spark, d)
+    return rounded(tables.family_intervals(rows, families=known, resamples=RESAMPLES, seed=SEED), *_BOUNDS)
+
+
+add_cte(
+    "family_folds",
+    ("preds", "bin_preds"),
+    """SELECT family, model, repeat, fold, sum(CASE WHEN pr + ac > 0 THEN 2 * tp / (pr + ac)::DOUBLE ELSE 0 END) / any_value(n) AS score
+       FROM (SELECT family, model, repeat, fold, k, any_value(n) AS n, count(*) FILTER (WHERE label = k) AS ac,
+               count(*) FILTER (WHERE prediction = k) AS pr, count(*) FILTER (WHERE label = k AND prediction = k) AS tp
+             FROM (SELECT 'species' AS family, 5 AS n, model, repeat, fold, label, prediction FROM preds UNION ALL
+                   SELECT 'first', 2, model, repeat, fold, label, prediction FROM bin_preds)
+             JOIN (SELECT range AS k FROM range(5)) ON k < n GROUP BY ALL)
+       GROUP BY family, model, repeat, fold""",
+)
+
+
+@query(
+    "U10_family_classes",
+    sql(
+        f"""SELECT l.family, l.model, r.model AS control, {r6("avg(l.score)")} AS mean, {r6("avg(r.score)")} AS control_mean,
+              {r6("avg(l.score - r.score)")} AS margin, count(*) AS folds
+            FROM family_folds l JOIN family_folds r USING (family, repeat, fold)
+            WHERE l.model NOT IN ('meta', 'first_meta') AND r.model IN ('meta', 'first_meta') GROUP BY ALL""",
+        "family_folds",
+    ),
+)
+def u10_classes(spark, d):
+    rows, known = two_families(spark, d)
+    margins = tables.family_margins(families.pairs_with_control(known), tables.fold_metrics(rows, known))
+    names = ["mean", "control_mean", "margin"]
+    return rounded(margins, *names).select("family", "model", "control", *names, "folds")
+
+
 # ---------------------------------------------------------------- false discovery rate
 _P = f"CASE WHEN o_orderkey % 97 <> 0 THEN ({h('o_orderkey')} % 100000 + 1) / 100001.0::DOUBLE END"
 add_cte("p_values", (), f"SELECT o_orderkey AS item_id, {_P} AS p_value FROM orders")

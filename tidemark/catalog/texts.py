@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
     CONTEXT_CONDITIONS,
+    CTES,
     LANGS,
+    N_FOLDS,
+    REPEATS,
+    SEED,
     VOCABULARY,
     add_cte,
     document_items,
@@ -27,7 +33,11 @@ from tidemark.functions.notes import (
 )
 from tidemark.operators import context, notes, tasks
 from tidemark.operators.items import parse_identity
-from tidemark.sources import shards
+from tidemark.operators.models import fit_probe
+from tidemark.operators.ordered import shared_folder
+from tidemark.parameters import Split
+from tidemark.plans import tagtask
+from tidemark.sources import sets, shards
 
 FLAGS = VOCABULARY.flag_names()
 # The vocabulary's terms in the order that they are looked for.
@@ -202,9 +212,11 @@ def s1(spark, d):
 
 @query("S7_reparse_on_drift", sql("SELECT * FROM notes", "notes"))
 def s7(spark, d):
+    """Annotations committed with an old vocabulary, healed, and read back as committed."""
+    root = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
     old = Vocabulary(tags={"gone": ["gone"], "the": ["th"]}, conditions={"le": ["le"]})
-    stored = notes.annotate(raw_notes(spark, d), old)
-    return notes.reparse_on_drift(stored, VOCABULARY)
+    sets.commit_set({"annotations": notes.annotate(raw_notes(spark, d), old)}, root, "notes", "annotations")
+    return notes.healed(spark, root, "notes", VOCABULARY)
 
 
 _CONTEXT = ["site", "lat", "lon", "code", *CONTEXT_CONDITIONS]
@@ -294,7 +306,7 @@ _CONDS = ", ".join(f'"cond_{c}"' for c in VOCABULARY.conditions)
     ),
 )
 def k8(spark, d):
-    return tasks.task_items(document_items(spark, d), annotated(spark, d), "en", 30)
+    return tasks.require_items(tasks.task_items(document_items(spark, d), annotated(spark, d), "en", 30), "en")
 
 
 def _guarded(t: str) -> str:
@@ -318,7 +330,7 @@ def _guarded(t: str) -> str:
     ),
 )
 def k9(spark, d):
-    return tasks.viable_tasks(labelled(spark, d).filter("keep"), VOCABULARY)
+    return tasks.require_tasks(tasks.viable_tasks(labelled(spark, d).filter("keep"), VOCABULARY))
 
 
 @query(
@@ -339,3 +351,56 @@ def k10(spark, d):
         "item_id", "class", F.explode(F.sequence(F.lit(0), last)).alias("window_index")
     )
     return tasks.relabel_windows(windows, rows, "an", VOCABULARY.guards["an"])
+
+
+# A tag task over documents: sources are groups, a document has one window or two.
+TASK_SPLIT = Split(n_folds=N_FOLDS, repeats=REPEATS, seed=SEED)
+add_cte(
+    "task_rows",
+    ("labelled",),
+    """SELECT item_id, group_id, CASE WHEN "call_ther" THEN 'present' ELSE 'absent' END AS class,
+         coalesce("call_ther", FALSE)::INT AS label FROM labelled WHERE keep AND class = 'en'""",
+)
+for _name, _old, _new in (("ranked_groups", "kept", "task_rows"), ("group_folds", "ranked_groups", "task_ranked_groups")):
+    add_cte(f"task_{_name}", (_new,), CTES[_name][1].replace(_old, _new))
+
+
+@query(
+    "K10_run_task",
+    sql(
+        """SELECT 'calltype_en_ther' || suffix AS model, repeat, fold, count(*) AS items,
+             sum(task_rows.label)::BIGINT AS present, sum(item_id::BIGINT)::BIGINT AS ids, ['absent', 'present'] AS classes
+           FROM task_rows JOIN task_group_folds USING (group_id)
+           CROSS JOIN (VALUES (''), ('_context')) s(suffix)
+           GROUP BY suffix, repeat, fold""",
+        "task_rows",
+        "task_group_folds",
+    ),
+)
+def k10_run(spark, d):
+    """A tag's model and its control, fitted on the same splits, committed and read back."""
+    root = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    chars = table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("item_id"), F.col("n_chars").alias("bytes"), "text"
+    )
+    facts = chars.withColumns({"native_rate": F.col("bytes") % 7, "year": F.lit(2000) + F.col("item_id").cast("int") % 5})
+    things = document_items(spark, d).join(facts.drop("text"), "item_id")
+    share = [
+        (F.length("text") - F.length(F.replace("text", F.lit(x)))) / F.greatest(F.length("text"), F.lit(1)) for x in "aehrt"
+    ]
+    last = (F.col("item_id").cast("bigint") % 2).cast("int")
+    windows = (
+        document_items(spark, d)
+        .join(chars.select("item_id", F.array(*share).alias("features")), "item_id")
+        .select("item_id", "group_id", "class", "features", F.explode(F.sequence(F.lit(0), last)).alias("window_index"))
+    )
+    models_ = tagtask.run_task(
+        windows.withColumn("label", F.lit(0)), things, annotated(spark, d), "en", "ther", VOCABULARY, TASK_SPLIT,
+        root, "documents", fit_probe((0.1,)), fit_probe((0.1,)),
+    )
+    told = sets.read_sets(spark, root, "predictions", config="documents", models=models_)
+    return told.groupBy("model", "repeat", "fold", "classes").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.sum(F.col("label").cast("bigint")).alias("present"),
+        F.sum(F.col("item_id").cast("bigint")).alias("ids"),
+    )

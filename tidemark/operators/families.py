@@ -123,7 +123,7 @@ def check_families(names: DataFrame, families: DataFrame) -> DataFrame:
         "families without a model on trial": roles.filter("m = 0"),
         "families without a control": roles.filter("c = 0"),
         "results claimed by two families": claimed_twice(claims),
-        "results with no control to be measured against": orphans(names, claims),
+        "results that belong to no family": orphans(names, claims),
     }
     for problem, frame in problems.items():
         found = some(frame)
@@ -174,3 +174,20 @@ def against_strongest(families: DataFrame, floors: DataFrame) -> DataFrame:
         .filter(F.col("model") != F.col("strongest"))
         .select("family", "model", F.col("strongest").alias("control"))
     )
+
+
+def with_class_lists(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each family's model with the classes its result set was saved with.
+
+    ``sets`` has ``model`` and ``classes`` (``sources.sets.committed``). The job fails if a model has
+    no set, or if models of one family were scored on different classes.
+    """
+    joined = families.join(sets.select("model", "classes"), "model", "left")
+    lists = joined.groupBy("family").agg(
+        F.count_if(F.coalesce(F.size("classes"), F.lit(0)) < 1).alias("unknown"),
+        F.min("classes").alias("first"),
+        F.max("classes").alias("last"),
+    )
+    fail = F.raise_error(F.concat(F.lit("classes unknown or not alike in family "), F.col("family"))).cast("array<string>")
+    sound = F.when((F.col("unknown") > 0) | (F.col("first") != F.col("last")), fail).otherwise(F.col("first"))
+    return families.join(lists.select("family", sound.alias("classes")), "family")

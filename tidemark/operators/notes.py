@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import require_columns
@@ -15,6 +15,7 @@ from tidemark.functions.notes import (
     site_of,
     tag_note,
 )
+from tidemark.sources.sets import commit_set, read_sets
 
 CONTEXT = ("site", "lat", "lon", "code")
 
@@ -69,6 +70,19 @@ def reparse_on_drift(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return reparse(df, vocabulary)
 
 
+def healed(spark: SparkSession, root: str, config: str, vocabulary: Vocabulary, name: str = "annotations") -> DataFrame:
+    """The committed annotations, recomputed and committed anew if the vocabulary asks for more.
+
+    Whoever reads the older version meanwhile keeps it; without drift nothing is written.
+    """
+    stored = read_sets(spark, root, name, config=config, models=[name]).drop("config", "model", "classes")
+    fresh = reparse_on_drift(stored, vocabulary)
+    if fresh is stored:
+        return stored
+    commit_set({name: fresh}, root, config, name)
+    return read_sets(spark, root, name, config=config, models=[name]).drop("config", "model", "classes")
+
+
 def context_columns(notes: DataFrame) -> list[str]:
     """Columns that describe the recording rather than what is heard on it."""
     return [*CONTEXT, *condition_columns(notes)]

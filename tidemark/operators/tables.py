@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.context import ABSENT, SHARED, UNIQUE
 from tidemark.operators.families import against_strongest, pairs_with_control, strongest_floor
-from tidemark.operators.scoring import count_metrics
+from tidemark.operators.scoring import confusion_counts, count_metrics, long_metrics
 from tidemark.operators.uncertainty import (
     cluster_bootstrap,
     fold_scores,
@@ -26,10 +26,28 @@ def family_margins(pairs: DataFrame, metrics: DataFrame, metric: str = "macro_f1
     return paired_difference(paired, ["family", "model", "control"])
 
 
-def family_intervals(predictions: DataFrame, n_classes: int, **settings) -> DataFrame:
-    """Each model's own score with the range its groups support, on the first repeat."""
+def family_intervals(
+    predictions: DataFrame, n_classes: int | None = None, families: DataFrame | None = None, **settings
+) -> DataFrame:
+    """Each model's own score with the range its groups support, on the first repeat.
+
+    With ``families``, which has ``family, model, classes``, every model is scored over the classes
+    of its family, all of them in one job; else all models have ``n_classes``.
+    """
     first = predictions.filter(F.col("repeat") == 0) if "repeat" in predictions.columns else predictions
-    return cluster_bootstrap(first, n_classes, **settings)
+    if families is None:
+        return cluster_bootstrap(first, n_classes, **settings)
+    sizes = families.select("family", "model", F.size("classes").alias("n_classes"))
+    # One row for each model: Spark sends them to the predictions.
+    return cluster_bootstrap(first.join(sizes, "model"), "n_classes", keys=["family", "model"], **settings)
+
+
+def fold_metrics(predictions: DataFrame, families: DataFrame) -> DataFrame:
+    """Count metrics of every model and split over the classes of the model's family, in long form."""
+    sizes = families.select("family", "model", F.size("classes").alias("n_classes"))
+    keys = ["family", "model", "repeat", "fold"]
+    counts = confusion_counts(predictions.join(sizes, "model"), [*keys, "n_classes"])
+    return long_metrics(count_metrics(counts, keys, "n_classes"), keys)
 
 
 def overview(

@@ -28,7 +28,8 @@ def task_items(
 
 
 def require_items(df: DataFrame, what: str) -> DataFrame:
-    if df.limit(1).count() == 0:
+    """The items of a task, or an error: a plan that runs a task starts here."""
+    if df.isEmpty():
         raise TaskError(f"no kept items for {what}")
     return df
 
@@ -80,9 +81,10 @@ def viable_tasks(
 
 
 def require_tasks(tasks: DataFrame) -> DataFrame:
-    if tasks.limit(1).count() == 0:
+    """The tasks from most to fewest groups, or an error if there are none."""
+    if tasks.isEmpty():
         raise TaskError("no tag reaches the minimum number of items and groups")
-    return tasks
+    return tasks.orderBy(F.desc("groups"), F.desc("positives"), "task")
 
 
 def relabel_windows(

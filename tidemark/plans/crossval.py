@@ -13,6 +13,7 @@ from tidemark.operators.ordered import durable
 from tidemark.operators.splits import check_folds, item_parts, items_from_windows
 from tidemark.operators.windows import extract_complete
 from tidemark.parameters import Split
+from tidemark.sources.sets import commit_set
 
 
 def fold_pairs(split: Split) -> list[tuple[int, int]]:
@@ -31,16 +32,16 @@ def folds_for(windows: DataFrame, split: Split) -> DataFrame:
 
 
 def planned_windows(
-    windows: DataFrame, split: Split, kept: DataFrame | None = None
+    windows: DataFrame, split: Split, kept: DataFrame | None = None, folds: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The checked folds, and the windows written once with their plan.
+    """The checked folds (those given, if any), and the windows written once with their plan.
 
     Folds that part a group or leave an item out are refused, and so are kept items without
     windows, and windows that the plan does not know.
     """
     if kept is not None:
         extract_complete(kept, windows)
-    folds = durable(folds_for(windows, split))
+    folds = durable(folds_for(windows, split)) if folds is None else folds
     check_folds(items_from_windows(windows), folds, split.repeats * split.n_folds)
     return folds, models.with_plan(windows, folds)
 
@@ -54,14 +55,16 @@ def cross_validate(
     *,
     ranking: bool = True,
     kept: DataFrame | None = None,
+    folds: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Predictions and metrics of one model over every (repeat, fold).
 
     ``windows`` has ``item_id, group_id, class, label, window_index, features``. The windows
     are written once, with the part of their item in every split; models, predictions
     and scores stay distributed. With ``kept``, items that produced no window fail the plan.
+    With ``folds`` of an earlier run both runs have the same splits.
     """
-    folds, planned = planned_windows(windows, split, kept)
+    folds, planned = planned_windows(windows, split, kept, folds)
     pairs = fold_pairs(split)
     fitted = models.fit_folds(planned, folds, fit, len(class_names), pairs)
     scored = durable(models.predict_folds(planned, folds, fitted, model).drop("features"))
@@ -83,3 +86,18 @@ def cross_validate(
             scoring.confusion_counts(items, ["model", "repeat", "fold"]), class_names
         ),
     }
+
+
+SAVED = ("predictions", "window_predictions", "metrics", "window_metrics", "confusion", "summary")
+
+
+def save_result(
+    done: dict[str, DataFrame],
+    root: str,
+    config: str,
+    model: str,
+    class_names: Sequence[str],
+    facts: dict[str, object] | None = None,
+) -> str:
+    """Commit every table of a cross validation as one set, with what its labels mean."""
+    return commit_set({name: done[name] for name in SAVED}, root, config, model, classes=class_names, facts=facts)

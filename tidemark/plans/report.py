@@ -29,18 +29,22 @@ def build(
     """Named tables: overview, comparison, margin_over_control, intervals, ambiguity.
 
     The fold metrics, a few rows per split, are computed once and kept; every table
-    covers all families and models in one job.
+    covers all families and models in one job. ``families`` may carry ``classes``, a list for
+    each family (``families.with_class_lists``); else all are scored over ``class_names``.
     """
     n_classes = len(class_names)
-    metrics = durable(scoring.score_folds(predictions, class_names, ranking=False))
+    if "classes" in families.columns:
+        metrics = durable(tables.fold_metrics(predictions, families).drop("family"))
+        intervals = tables.family_intervals(predictions, families=families, resamples=resamples, seed=seed)
+    else:
+        metrics = durable(scoring.score_folds(predictions, class_names, ranking=False))
+        intervals = tables.family_intervals(predictions, n_classes, resamples=resamples, seed=seed)
     summary = scoring.summarise_folds(metrics)
     built = {
         "overview": tables.overview(families, metrics, summary, silent),
         "comparison": scoring.comparison(summary, HEADLINE),
         "margin_over_control": tables.family_margins(pairs_with_control(families), metrics),
-        "intervals": tables.family_intervals(
-            predictions, n_classes, resamples=resamples, seed=seed
-        ),
+        "intervals": intervals,
     }
     if outcomes is not None:
         built["ambiguity"] = tables.ambiguity(predictions, outcomes, n_classes)
