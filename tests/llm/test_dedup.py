@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import exact_dedup, minhash
-from tidemark.llm.components import components
+from tidemark.llm.components import components, merged
 from tidemark.llm.words import buffers, shingle_sets
 
 DOCS = "doc_id bigint, text string"
@@ -148,3 +148,15 @@ def test_components_of_paths_stars_and_loops(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_merging_components_equals_components_of_all_links(spark):
+    draw = random.Random(12)
+    for size in (30, 200):
+        one = [(draw.randrange(size), draw.randrange(size)) for _ in range(size // 2)]
+        two = [(draw.randrange(size + 9), draw.randrange(size + 9)) for _ in range(size // 6)] + [(1, 1)]
+        frames = [spark.createDataFrame(links, "a bigint, b bigint") for links in (one, two)]
+        got = {r["node"]: r["component"] for r in merged(components(frames[0]), frames[1]).collect()}
+        want = {r["node"]: r["component"] for r in components(frames[0].unionByName(frames[1])).collect()}
+        assert got == want
+    assert merged(components(frames[0]), frames[1].limit(0)).count() == components(frames[0]).count()

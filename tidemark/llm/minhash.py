@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, merged
 from tidemark.llm.rows import document_rows, keep_rows, text_digest
 from tidemark.llm.words import buffers, mix, shingle_sets, slices
 from tidemark.operators.ordered import durable
@@ -171,8 +171,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         # Ids may repeat among classes; the number tells them apart and is fixed by being written.
         .withColumn("node", F.monotonically_increasing_id())
     )
-    links = _links(rows, classes, size, percent)
-    linked = classes.select("node", "first").join(components(links), "node")
+    linked = classes.select("node", "first").join(_placed(rows, classes, size, percent), "node")
     leasts = linked.groupBy("component").agg(F.min("first").alias("least"))
     found = linked.join(leasts, "component").select("node", "least")
     named = classes.join(found, "node", "left").select(*alike, F.coalesce("least", "first").alias("least"))
@@ -189,7 +188,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     )
 
 
-def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _placed(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, component`` of every class that is linked with another."""
     floor = percent / 100 - MARGIN
     banded = classes.select(
         "node", "n_shingles", F.col("sketch.bits").alias("bits"), F.posexplode("sketch.bands").alias("band", "key")
@@ -221,12 +221,13 @@ def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     sets = durable(
         rows.join(wanted, ["doc_id", "digest"])
         .select("node", "text")
+        .dropDuplicates(["node"])
         .mapInArrow(_sets(size), "node bigint, shingles array<bigint>")
-    ).dropDuplicates(["node"])
+    )
     first = durable(_confirmed(pairs, sets, percent))
 
     # What is left: pairs of one large bucket in different components.
-    placed = components(first)
+    placed = durable(components(first))
     large = (
         members.filter(F.col("members") > SMALL)
         .join(placed, "node", "left")
@@ -256,7 +257,7 @@ def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
         bounded.select("band", "key", "node", "n_shingles", "bits", "component", "common")
     ).join(classes.select("node", F.col("sketch.bands").alias("bands")), "node")
     second = _crossing_links(bounded.join(sets, "node"), floor, percent)
-    return first.unionByName(durable(second.distinct()))
+    return merged(placed, durable(second.distinct()))
 
 
 def _same_bucket() -> Column:
