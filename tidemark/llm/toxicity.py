@@ -22,8 +22,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ THRESHOLD = 0.3
 LONGEST = 64
 #: Tokens a worker remembers before it forgets all of them.
 REMEMBERED = 60_000
+#: Hashes kept of tokens that hit nothing (32 MB).
+QUIET = 1 << 22
+# A worker serves many tasks of a job: what it knows of one lexicon's quiet tokens stays.
+_quiet: dict[bytes, np.ndarray] = {}
 #: Bytes of text whose entries are counted together.
 COUNT_SLICE = 1 << 19
 #: Lengths of the word beginnings that the lexicon may list, best first.
@@ -209,6 +214,9 @@ class Reader:
     def __init__(self, model: np.ndarray, lexicon: Lexicon | None = None):
         self.restorer, self.lexicon = Restorer(model), lexicon
         self.known: dict[int, tuple] = {}
+        told = [] if lexicon is None else [sorted(lexicon.met.items()), lexicon.words]
+        self.job = blake2b(model.tobytes() + repr(told).encode()).digest()
+        self.quiet = _quiet.get(self.job, np.zeros(0, np.uint64))
 
     def _meaning(self, token: str) -> tuple:
         """Without a lexicon the token's words, with one its hits ``(word, entry)``."""
@@ -218,6 +226,36 @@ class Reader:
         best = ((word, next((e for e in _entries(word) if self.lexicon.weight(e)), None)) for word in words)
         return tuple(hit for hit in best if hit[1] is not None)
 
+    def _meanings(self, distinct: np.ndarray, token: Callable[[int], str]) -> list[tuple]:
+        """What each of the sorted token hashes means; ``token`` tells the text of one.
+
+        Of tokens that hit nothing, which nearly all are, only the hashes are kept, in order.
+        """
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        if len(self.quiet) > QUIET:
+            self.quiet = self.quiet[:0]
+        meaning: list[tuple] = [()] * len(distinct)
+        place = np.searchsorted(self.quiet, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        there = place < len(self.quiet)
+        known[there] = self.quiet[place[there]] == distinct[there]
+        fresh = []
+        for k in np.flatnonzero(~known).tolist():
+            name = int(distinct[k])
+            if name not in self.known:
+                told = self._meaning(token(k))
+                if self.lexicon is not None and not told:
+                    fresh.append(k)
+                    continue
+                self.known[name] = told
+            meaning[k] = self.known[name]
+        if fresh:
+            self.quiet = np.insert(self.quiet, place[fresh], distinct[fresh])
+            _quiet.clear()
+            _quiet[self.job] = self.quiet
+        return meaning
+
     def tokens(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
         """Text and token number of every token, and what each numbered token means.
 
@@ -227,14 +265,7 @@ class Reader:
         hashes, _ = word_hashes(raw, offsets)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         distinct, lead, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, names = self.known, distinct.tolist()
-        for k, name in enumerate(names):
-            if name not in known:
-                at = lead[k]
-                known[name] = self._meaning(raw[starts[at] : ends[at] + 1].tobytes().decode("utf-8"))
-        meaning = [known[name] for name in names]
+        meaning = self._meanings(distinct, lambda k: raw[starts[lead[k]] : ends[lead[k]] + 1].tobytes().decode("utf-8"))
         size = ends - starts + 1
         single = (size == 1) | ((size == 2) & (raw[starts] >= 0xC2) & (raw[starts] < 0xE0))
         go_on = single[1:] & single[:-1] & (owner[1:] == owner[:-1])
