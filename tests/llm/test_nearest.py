@@ -65,3 +65,11 @@ def test_few_candidates_and_empty_tables(spark):
     assert nearest(two.filter("vec_id = 0"), asked()).count() == 0
     assert nearest(two.limit(0), asked()).count() == 0
     assert nearest(two.filter("vec_id = 1"), asked()).count() == 0
+
+
+def test_many_parallel_vectors_tie_to_the_smallest_ids(spark):
+    """Multiples by powers of two have one and the same cosine, and are no copies of each other."""
+    base = [3.0, -1.0, 2.0, 0.5]
+    rows = [(50, base)] + [(i, [x * 2.0 ** (i % 25 - 12) for x in base]) for i in range(1, 31)] + [(40, [1.0, 1.0, 1.0, 1.0])]
+    got = nearest(spark.createDataFrame([(i, v, "x") for i, v in rows], ROWS), asked()).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]

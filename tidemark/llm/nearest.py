@@ -34,6 +34,8 @@ from tidemark.operators.ordered import durable
 ORDERINGS, AXES, LEVELS = 16, 8, 7
 CELL_ROWS, LEAST_CELLS = 2048, 48
 REACH = 0.1
+#: Rows of a window at least: small tables, and vectors that tie by hundreds, are seen whole.
+LEAST_WINDOW = 1024
 #: Queries of a block meet the rows of a cell in one task.
 BLOCK = 4096
 #: Vectors that the projections' centre and spread are taken from, at most.
@@ -126,20 +128,25 @@ def _compare(keep: int):
             points = _matrix(rows.column("vector"))
             unit = _unit(points)
             asked = _matrix(queries.column("vector"))
-            size, most = np.linalg.norm(points, axis=1), min(keep + 4, len(ids))
+            size, most = np.linalg.norm(points, axis=1), min(keep, len(ids))
             for low in range(0, len(own), 512):
                 part = asked[low : low + 512]
                 near = _unit(part) @ unit.T
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                dot = (part[:, None, :] * points[best]).sum(axis=2)
-                score = dot / (np.linalg.norm(part, axis=1)[:, None] * size[best])
+                # Whatever may tie with the last place is ranked exactly, by score and id.
+                edge = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
+                row, best = np.nonzero(near >= edge[:, None] - 1e-12)
+                dot = (part[row] * points[best]).sum(axis=1)
+                score = dot / (np.linalg.norm(part, axis=1)[row] * size[best])
                 # Outside the range of doubles the scaled vectors give the cosine.
-                score = np.where(np.isfinite(score), score, np.take_along_axis(near, best, axis=1))
-                order = np.lexsort([ids[best], -score], axis=1)[:, :keep]
-                best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-                out["query"].append(np.repeat(own[low : low + 512], best.shape[1]))
-                out["rep"].append(ids[best].reshape(-1))
-                out["score"].append(score.reshape(-1))
+                score = np.where(np.isfinite(score), score, near[row, best])
+                order = np.lexsort([ids[best], -score, row])
+                row, best, score = row[order], best[order], score[order]
+                first = np.searchsorted(row, row)
+                kept = np.arange(len(row)) - first < keep
+                row, best, score = row[kept], best[kept], score[kept]
+                out["query"].append(own[low : low + 512][row])
+                out["rep"].append(ids[best])
+                out["score"].append(score)
         kinds = {"query": np.int64, "rep": np.int64, "score": np.float64}
         return pa.table({k: np.concatenate([np.zeros(0, kinds[k]), *v]) for k, v in out.items()})
 
@@ -208,7 +215,8 @@ def nearest(
     )
     ends = index.groupBy("ordering").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
     span = F.col("high") - F.col("low") + 1
-    half = F.greatest(F.lit(1), F.floor(span * reach / 2)).cast("int")
+    least = ceil(LEAST_WINDOW / 2 * cells / max(total, 1))
+    half = F.greatest(F.lit(1), F.floor(span * reach / 2), F.lit(least)).cast("int")
     # A window at the end of the curve is moved inwards, not cut.
     start = F.greatest(F.least(F.col("cell") - half, F.col("high") - 2 * half), F.col("low"))
     windows = (
