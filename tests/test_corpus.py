@@ -156,7 +156,7 @@ def control_items(spark, code_of):
 )
 def test_only_a_code_that_spans_groups_crosses_the_fold(spark, code_of, helps):
     items = control_items(spark, code_of)
-    predicted = controls.lookup_model(splits.item_parts(items, n_folds=5, seed=1), ["code"])
+    predicted = controls.lookup_model(items, splits.group_parts(items, n_folds=5, seed=1), ["code"])
     right = predicted.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).head()[0]
     assert (right == 1.0) if helps else (right <= 0.5)
     assert predicted.filter(F.col("seen") == (not helps)).count() == 0
@@ -322,9 +322,11 @@ def test_bands_hide_rows_of_a_matrix_and_cells_of_a_vector(spark):
 
 
 def test_lookup_model_on_a_single_later_fold(spark):
-    rows = [(i, 2, 1, "test" if i % 4 == 0 else "train", "k" + str(i % 2), i % 2) for i in range(16)]
-    folds = spark.createDataFrame(rows, "item_id int, repeat int, fold int, part string, code string, label int")
-    got = controls.lookup_model(folds, ["code"]).collect()
+    rows = [(i, i, "k" + str(i % 2), i % 2) for i in range(16)]
+    items = spark.createDataFrame(rows, "item_id int, group_id int, code string, label int")
+    parts = [(2, 1, i, "test" if i % 4 == 0 else "train") for i in range(16)]
+    folds = spark.createDataFrame(parts, "repeat int, fold int, group_id int, part string")
+    got = controls.lookup_model(items, folds, ["code"]).collect()
     assert got and all(row["seen"] and row["prediction"] == row["label"] for row in got)
 
 
@@ -356,3 +358,40 @@ def test_fold_plans_copy_no_window(spark):
     tested = in_part(planned, 2, 1, "test")
     assert {row["item_id"] for row in tested.collect()} == {1, 6} and tested.count() == 6
     assert {(row["repeat"], row["fold"]) for row in tested.collect()} == {(2, 1)}
+
+
+def test_tallies_of_group_plans_equal_counting_every_split(spark):
+    """Lookups and class weights against plain loops; null fields, ties, unseen keys."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(3)
+    rows = [
+        (i, draw.randrange(30), draw.choice(["a", "b", None, f"own{i % 30}"]), draw.choice(["x", "y"]), draw.randrange(3))
+        for i in range(400)
+    ]
+    items = spark.createDataFrame(rows, "item_id int, group_id int, code string, site string, label int")
+    plan = {(r, f, g): draw.choice(["train", "train", "validation", "test"]) for r in range(2) for f in range(3) for g in range(30)}
+    parts = spark.createDataFrame([(*k, v) for k, v in plan.items()], "repeat int, fold int, group_id int, part string")
+    got = {
+        (r["item_id"], r["repeat"], r["fold"]): (r["prediction"], r["seen"])
+        for r in controls.lookup_model(items, parts, ["code", "site"]).collect()
+    }
+    weights = {
+        (r["repeat"], r["fold"], r["label"]): r["weight"]
+        for r in controls.class_weights_by_groups(items, parts, 4).collect()
+    }
+    want, want_weights = {}, {}
+    for r in range(2):
+        for f in range(3):
+            train = [x for x in rows if plan[r, f, x[1]] == "train"]
+            labels = Counter(x[4] for x in train)
+            most = lambda counts: min(counts, key=lambda k: (-counts[k], k))
+            for x in rows:
+                if plan[r, f, x[1]] == "test":
+                    own = Counter(y[4] for y in train if y[2:4] == x[2:4])
+                    want[x[0], r, f] = (most(own or labels), bool(own))
+            for k in range(4):
+                want_weights[r, f, k] = len(train) / (4 * labels[k]) if labels[k] else 0.0
+    assert got == want
+    assert weights == pytest.approx(want_weights)

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.errors import ExtractionIncomplete, SplitError
-from tidemark.operators import models, probes
+from tidemark.operators import boosting, models, probes
 from tidemark.parameters import Split
 from tidemark.plans import crossval
 
@@ -123,3 +123,84 @@ def test_occlusion_by_sums_equals_hiding_the_cells(spark):
     assert len(got) == 4
     for g, w in zip(got, want):
         assert g == pytest.approx(w)
+
+
+def plain_boost(rows, edges, n_classes, settings, rounds):
+    """Margins of boosted trees by recursion over lists of rows, without any sampling."""
+    label = np.array([r[0] for r in rows])
+    cut = np.array([[sum(v > e for e in edges[j]) for j, v in enumerate(r[1])] for r in rows])
+    counts = np.bincount(label, minlength=n_classes)
+    weight = len(label) / (n_classes * counts[label])
+    per = 1 if n_classes == 2 else n_classes
+    margins = np.zeros((len(rows), per))
+
+    def grow(at, g, h, depth):
+        value = -settings.rate * g[at].sum() / (h[at].sum() + settings.penalty)
+        score = lambda s: g[s].sum() ** 2 / (h[s].sum() + settings.penalty)
+        best = (1e-9, None)
+        for j in range(cut.shape[1]):
+            for b in range(max(len(e) for e in edges)):
+                left, right = at[cut[at, j] <= b], at[cut[at, j] > b]
+                if len(left) and len(right) and min(h[left].sum(), h[right].sum()) >= settings.least_weight:
+                    gain = score(left) + score(right) - score(at)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if depth == 0 or best[1] is None:
+            step[at] = value
+        else:
+            for side in best[1]:
+                grow(side, g, h, depth - 1)
+
+    for _ in range(rounds):
+        if per == 1:
+            p = 1 / (1 + np.exp(-margins))
+            g, h = weight[:, None] * (p - (label[:, None] == 1)), weight[:, None] * p * (1 - p)
+        else:
+            p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+            g, h = weight[:, None] * (p - (label[:, None] == np.arange(per))), 2 * weight[:, None] * p * (1 - p)
+        moved = margins.copy()
+        for k in range(per):
+            step = np.zeros(len(rows))
+            grow(np.arange(len(rows)), g[:, k], h[:, k], settings.depth)
+            moved[:, k] += step
+        margins = moved
+    return margins
+
+
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_boosting_equals_a_plain_run_in_every_split(spark, n_classes):
+    windows = windows_of(spark, groups=18).filter(F.col("label") < n_classes)
+    split = Split(n_folds=3, seed=5, validation_splits=3)
+    _, planned = crossval.planned_windows(windows, split)
+    pairs = crossval.fold_pairs(split)
+    settings = boosting.Settings(
+        rounds=12, depth=3, rate=0.3, rows=1.0, columns=1.0, least_weight=1.0, patience=12, bins=8
+    )
+    booster = boosting.Booster(models.with_parts(planned, pairs), len(pairs), n_classes, settings).fit()
+    booster.kept[:] = 12
+    for number, pair in enumerate(pairs[:2]):
+        train = models.in_part(planned, *pair, "train").select("label", "features").collect()
+        want = plain_boost([(r[0], r[1]) for r in train], booster.edges, n_classes, settings, 12)
+        got = booster.probs(np.array([r[1] for r in train]), number)
+        if n_classes == 2:
+            p = 1 / (1 + np.exp(-want[:, 0]))
+            want = np.stack([1 - p, p], axis=1)
+        else:
+            want = np.exp(want) / np.exp(want).sum(axis=1, keepdims=True)
+        assert np.allclose(got, want, atol=1e-8)
+
+
+def test_boosting_stops_each_split_on_its_validation_rows_and_is_repeatable(spark):
+    windows = windows_of(spark)
+    settings = {"rounds": 60, "depth": 2, "rate": 0.5, "patience": 5, "bins": 8}
+    done = [
+        crossval.cross_validate(frame, ["c0", "c1", "c2"], models.fit_trees(**settings), SPLIT, "trees", ranking=False)
+        for frame in (windows, windows.repartition(7))
+    ]
+    kept = [d["fitted"].booster.kept for d in done]
+    assert (kept[0] == kept[1]).all() and (kept[0] > 0).all() and (kept[0] < 60).all()
+    told = [sorted((r["repeat"], r["item_id"], r["prediction"]) for r in d["predictions"].collect()) for d in done]
+    assert told[0] == told[1]
+    assert done[0]["summary"].filter("metric = 'macro_f1'").head()["mean"] > 0.4
+    gains = models.feature_importance(spark, done[0]["fitted"], ["a", "b", "c", "still"]).collect()
+    assert all(r["gain"] == 0 for r in gains if r["feature"] == "still") and any(r["gain"] > 0 for r in gains)

@@ -324,8 +324,9 @@ def m3(spark, d):
     ),
 )
 def m4(spark, d):
-    train = item_parts(spark, d).filter("part = 'train'")
-    return rounded(controls.class_weights(train, len(SEGMENTS)), "weight")
+    kept = durable(kept_items(spark, d).select("item_id", "group_id", "label"))
+    parts = durable(splits.group_parts(kept, n_folds=N_FOLDS, repeats=REPEATS, seed=SEED))
+    return rounded(controls.class_weights_by_groups(kept, parts, len(SEGMENTS)), "weight")
 
 
 add_cte(
@@ -351,5 +352,7 @@ add_cte(
     sql("SELECT item_id, repeat, fold, label, prediction, seen FROM looked_up", "looked_up"),
 )
 def m5(spark, d):
-    predicted = controls.lookup_model(durable(item_parts(spark, d)), ["code", "site"])
+    kept = durable(kept_items(spark, d).select("item_id", "group_id", "label", "code", "site"))
+    parts = durable(splits.group_parts(kept, n_folds=N_FOLDS, repeats=REPEATS, seed=SEED))
+    predicted = controls.lookup_model(kept, parts, ["code", "site"])
     return predicted.select("item_id", "repeat", "fold", "label", "prediction", "seen")

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import SplitError, TidemarkError
 from tidemark.functions.hashing import stable_hash
-from tidemark.operators import probes
+from tidemark.operators import boosting, probes
 from tidemark.operators.controls import class_weights
 from tidemark.operators.ordered import durable
 from tidemark.operators.scoring import (
@@ -58,14 +58,20 @@ class Probes:
         return FittedProbes(splits, matrix, offset)
 
 
-class FittedProbes(dict):
-    """``{(repeat, fold): predict}``, and all test parts scored in one scan."""
+class FittedSplits(dict):
+    """``{(repeat, fold): predict}``, and all test parts scored in one scan.
 
-    def __init__(self, splits: Sequence[tuple[int, int]], matrix, offset):
-        self.splits, self.matrix, self.offset = list(splits), matrix, offset
+    ``probs_of`` gives the class probabilities of features by the model of a split's number.
+    """
+
+    def __init__(self, splits: Sequence[tuple[int, int]], probs_of: Callable, n_classes: int):
+        self.splits, self.probs_of, self.n_classes = list(splits), probs_of, n_classes
         for number, split in enumerate(self.splits):
-            own = matrix[number : number + 1], offset[number : number + 1]
-            self[split] = lambda df, own=own: probes.with_probs(df, *own)
+
+            def predict(df: DataFrame, number: int = number) -> DataFrame:
+                return probes.scored_rows(df, lambda x, _: probs_of(x, number), n_classes)
+
+            self[split] = predict
 
     def tested(self, planned: DataFrame) -> DataFrame:
         """Each window once for each split that tests it, numbered by ``__split``."""
@@ -78,10 +84,18 @@ class FittedProbes(dict):
         return rows.drop(probes.PARTS, "__splits").withColumns({"repeat": stamp["repeat"], "fold": stamp["fold"]})
 
     def predict_all(self, planned: DataFrame) -> DataFrame:
-        scored = probes.with_probs(self.tested(planned), self.matrix, self.offset, "__split")
+        scored = probes.scored_rows(self.tested(planned), self.probs_of, self.n_classes, "__split")
         return scored.drop("__split")
 
 
+class FittedProbes(FittedSplits):
+    """The probes with their coefficients."""
+
+    def __init__(self, splits: Sequence[tuple[int, int]], matrix: np.ndarray, offset: np.ndarray):
+        self.matrix, self.offset = matrix, offset
+        super().__init__(splits, lambda x, one: probes.softmax(x @ matrix[one] + offset[one]), offset.shape[1])
+
+
 def fit_probe(penalties: Sequence[float] = (0.01, 0.1), max_iter: int = 50) -> Probes:
     """Linear softmax on standardised features; the penalty is picked on validation."""
     return Probes(penalties, max_iter)
@@ -102,55 +116,32 @@ def _refuse_empty(rows: DataFrame, splits: Sequence[tuple[int, int]]) -> None:
             raise TidemarkError(f"repeat {repeat} fold {fold} has no training windows")
 
 
-def fit_trees(**settings) -> Fit:
-    """Boosted trees, one against the rest per class, stopped early on validation.
+class Trees:
+    """Boosted trees of all splits and classes at once (``boosting``), stopped on validation."""
 
-    Two classes need one booster; more have their scores normalised to sum to one.
-    """
-    settings = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 1234, **settings}
+    def __init__(self, settings: boosting.Settings):
+        self.settings = settings
 
-    def fit(train: DataFrame, validation: DataFrame, n_classes: int) -> Predict:
-        both = _vectors(
-            train.withColumn("__held", F.lit(False)).unionByName(
-                validation.withColumn("__held", F.lit(True)), allowMissingColumns=True
-            )
-        ).na.fill(1.0, ["weight"])
-        both.persist()
-
-        def booster(k: int):
-            marked = both.withColumn("__mine", (F.col("label") == k).cast("double"))
-            return GBTClassifier(
-                featuresCol="__vector",
-                labelCol="__mine",
-                weightCol="weight",
-                validationIndicatorCol="__held",
-                **settings,
-            ).fit(marked)
-
-        models = [booster(k) for k in ([1] if n_classes == 2 else range(n_classes))]
-        both.unpersist()
+    def fit_all(self, planned: DataFrame, n_classes: int, splits: Sequence[tuple[int, int]]) -> "FittedTrees":
+        rows = with_parts(planned, splits)
+        _refuse_empty(rows, splits)
+        return FittedTrees(splits, boosting.Booster(rows, len(splits), n_classes, self.settings).fit())
 
-        def predict(df: DataFrame) -> DataFrame:
-            scored, scores = _vectors(df), []
-            for number, model in enumerate(models):
-                scored = model.transform(scored).withColumn(
-                    f"__score_{number}", vector_to_array("probability")[1]
-                ).drop("rawPrediction", "probability", "prediction")
-                scores.append(F.col(f"__score_{number}"))
-            if n_classes == 2:
-                probs = F.array(1 - scores[0], scores[0])
-            else:
-                total = reduce(lambda a, b: a + b, scores)
-                probs = F.array(
-                    *[F.when(total > 0, s / total).otherwise(1 / n_classes) for s in scores]
-                )
-            names = [f"__score_{number}" for number in range(len(models))]
-            return _with_probs(scored, probs).drop(*names)
-
-        predict.importances = [model.featureImportances.toArray() for model in models]
-        return predict
 
-    return fit
+class FittedTrees(FittedSplits):
+    """``{(repeat, fold): predict}``; each predictor knows its features' gains."""
+
+    def __init__(self, splits: Sequence[tuple[int, int]], booster: boosting.Booster):
+        self.booster = booster.predictor()
+        light, n_classes = self.booster, booster.n_classes
+        super().__init__(splits, light.probs, n_classes)
+        for number, split in enumerate(self.splits):
+            self[split].importances = [light.gains(number)]
+
+
+def fit_trees(**settings) -> Trees:
+    """Boosted trees with class weights; a split keeps as many as its validation rows ask for."""
+    return Trees(boosting.Settings(**settings))
 
 
 def fit_forest(**settings) -> Fit:

@@ -27,8 +27,8 @@ def batch_matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def scan_sums(windows: DataFrame, terms: Callable[..., np.ndarray], size: int) -> np.ndarray:
-    """``terms(features, labels, parts)`` of each batch summed over all windows.
+def scan_batches(rows: DataFrame, terms: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """``terms(batch)`` summed over all batches of ``rows``.
 
     Partitions sum their batches; the sums of partitions meet place by place.
     """
@@ -37,21 +37,26 @@ def scan_sums(windows: DataFrame, terms: Callable[..., np.ndarray], size: int) -
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                total += terms(
-                    batch_matrix(batch, "features"),
-                    batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64),
-                    batch_matrix(batch, PARTS).astype(np.int8),
-                )
+                total += terms(batch)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["at", "value"])
 
-    rows = windows.select("features", "label", PARTS).mapInArrow(summed, "at bigint, value double")
     whole = np.zeros(size)
-    for row in rows.groupBy("at").agg(F.sum("value").alias("value")).collect():
+    for row in rows.mapInArrow(summed, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
         whole[row["at"]] = row["value"]
     return whole
 
 
+def scan_sums(windows: DataFrame, terms: Callable[..., np.ndarray], size: int) -> np.ndarray:
+    """``terms(features, labels, parts)`` of each batch summed over all windows."""
+
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+        return terms(batch_matrix(batch, "features"), label, batch_matrix(batch, PARTS).astype(np.int8))
+
+    return scan_batches(windows.select("features", "label", PARTS), of, size)
+
+
 class Moments:
     """Per split: training windows of each class, and centre and scale of each feature."""
 
@@ -211,16 +216,23 @@ def _validation_scores(windows: DataFrame, matrix, offset, splits: list[int], n_
 
 
 def with_probs(df: DataFrame, matrix: np.ndarray, offset: np.ndarray, split: str | None = None) -> DataFrame:
-    """Add ``probs`` by the model of the split that the column ``split`` numbers (else the first)."""
+    """Add ``probs`` by the linear model of the split that the column ``split`` numbers (else the first)."""
+    return scored_rows(df, lambda x, one: softmax(x @ matrix[one] + offset[one]), offset.shape[1], split)
+
+
+def scored_rows(
+    df: DataFrame, probs_of: Callable[[np.ndarray, int], np.ndarray], n_classes: int, split: str | None = None
+) -> DataFrame:
+    """Add ``probs`` by ``probs_of(features, number of the split)``."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            probs = np.zeros((batch.num_rows, offset.shape[1]))
+            probs = np.zeros((batch.num_rows, n_classes))
             if batch.num_rows:
                 x = batch_matrix(batch, "features")
                 own = batch.column(split).to_numpy() if split else np.zeros(batch.num_rows, dtype=int)
                 for one in np.unique(own):
-                    probs[own == one] = softmax(x[own == one] @ matrix[one] + offset[one])
+                    probs[own == one] = probs_of(x[own == one], int(one))
             ends = pa.array(np.arange(len(probs) + 1, dtype=np.int32) * probs.shape[1])
             lists = pa.ListArray.from_arrays(ends, pa.array(probs.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "probs"])
