@@ -216,7 +216,7 @@ def test_longest_task_owns_a_model(spark):
 @pytest.mark.parametrize(
     "results, problem",
     [
-        (["calltype_orca_call"], "no control"),
+        (["calltype_orca_call"], "no family"),
         (["calltype_orca_call", "calltype_orca_call_context", "calltype_orca_call_context_old"], "two controls"),
         (["calltype_orca_call_context"], "without a model"),
         (["xgb"], "without a control"),
