@@ -42,7 +42,7 @@ def m6(spark, d):
         "features",
     )
     done = cross_validate(
-        rows, ["rest", SEGMENTS[0]], models.fit_trees(), PARTS, "trees",
+        rows, ["rest", SEGMENTS[0]], models.fit_trees(rounds=10, depth=3, patience=5), PARTS, "trees",
         ranking=False,
     )
     return done["metrics"]
