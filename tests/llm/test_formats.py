@@ -5,9 +5,11 @@ import hashlib
 import json
 import zlib
 
+import duckdb
 import pytest
 from pyarrow import fs
 
+from tests.oracle import compare
 from tidemark.llm import chat, licences, warc
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, formatted string"
@@ -120,3 +122,39 @@ def test_licences_in_other_spellings(spark):
         (3, 0, "Apache-2.0"), (3, 1, "Apache-2.0"),
     ]
     assert licences.scan_licences(docs.limit(0)).count() == 0
+
+
+def test_licences_in_usual_layouts(spark):
+    texts = licences.TEXTS
+    isc = texts["ISC"].replace("\n", " ").replace("above copyright notice", "above\ncopyright notice")
+    mit = texts["MIT"].replace("\n", " ")
+    wrapped = mit.replace("OR COPYRIGHT HOLDERS BE", "OR\nCOPYRIGHT HOLDERS BE")
+    bsd = texts["BSD-3-Clause"].replace("\n", " ")
+    listed = bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n2. ").replace(" 3. ", "\n3. ")
+    bullets = bsd.replace(" 1. ", "\n  * ").replace(" 2. ", "\n  * ").replace(" 3. ", "\n  * ")
+    whole = {
+        1: isc,
+        2: "Copyright (c) 2020 Someone " + mit,
+        3: "The MIT License (MIT)\n\nCopyright 2020 Some One\n\n" + wrapped,
+        4: "BSD 3-Clause License\n\nCopyright (c) 2017, Some One\nAll rights reserved.\n\n" + listed,
+        5: "\tCopyright Some One\n" + bullets,
+        6: texts["Unlicense"].replace("copyright law.", "\ncopyright law."),
+        7: "Copyright 2001 One\n(c) 2002 Two\n" + texts["Apache-2.0"].replace("http:", "https:"),
+        8: texts["BSD-2-Clause"],
+    }
+    none = {20: isc.replace("notice and", "notice or"), 21: "Copyright Some One", 22: "copyright holder"}
+    docs = spark.createDataFrame(list((whole | none).items()), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["licence_id"]) for r in licences.scan_licences(docs).filter("line = 0").collect()}
+    assert got == {
+        (1, "ISC"), (2, "MIT"), (3, "MIT"), (4, "BSD-3-Clause"), (5, "BSD-3-Clause"), (6, "Unlicense"),
+        (7, "Apache-2.0"), (8, "BSD-2-Clause"),
+    }
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    assert compare(licences.scan_licences(docs), connection, licences.oracle()) == []
+
+
+def test_a_digest_under_two_licences_is_the_least(spark):
+    docs = spark.createDataFrame([(1, "some terms")], "doc_id bigint, text string")
+    known = [("B-1", "Some terms."), ("A-1", "some  TERMS")]
+    assert {r["licence_id"] for r in licences.scan_licences(docs, known).collect()} == {"A-1"}

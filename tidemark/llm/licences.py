@@ -1,10 +1,13 @@
 """Licence scans by canonical digest: whole texts are normalised, digested and hash-joined.
 
 A text unit is a whole document (``line`` 0) or one of its lines (from 1). Units are
-lower-cased, lines that state a copyright are taken out, everything but letters and digits
-becomes one blank, and equivalent spellings become one. The SHA-256 of what is left is
-looked up among the digests of known licences, a table that does not grow with the data
-and is broadcast. Everything is DataFrame functions.
+lower-cased, statements of a copyright and numbers of list items are taken out, everything
+but letters and digits becomes one blank, and equivalent spellings become one. A line that
+goes on from its statement with a known text keeps that text; a line that begins with
+"copyright notice", "copyright holders" or the like is prose and stays. The SHA-256 of what
+is left is looked up among the digests of known licences, with and without their titles, a
+table that does not grow with the data and is broadcast. Everything is DataFrame functions.
+A digest under two licences is the one of the least identifier.
 
 Null and empty texts, and units without a letter or digit, match nothing. Rows that repeat
 an id each report their own matches. A document with a null id reports its matches under
@@ -13,6 +16,8 @@ that id. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +79,56 @@ that you wrote the original software. If you use this software in a product, an
 documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such,
 and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
 source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE. For more information, please refer to <https://unlicense.org>""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+specific language governing permissions and limitations under the License.""",
 }
-#: A line that states a copyright, anywhere among lower-cased lines.
-COPYRIGHT = r"^\s*(copyright|©|\(c\)).*$"
+#: Title lines that stand above a whole text.
+TITLES = ("{name}", "The {name}", "{name} ({id})", "The {name} ({id})")
+#: Words by which a known text is found after a statement on its line.
+OPENING_WORDS = 4
+#: How a lower-cased line that states a copyright begins, and how one does that only says the word.
+STATEMENT = r"^\s*(?:copyright\b|©|\(c\)|all rights reserved\W*$)"
+PROSE = r"^\s*copyright(?:\s+(?:notices?|holders?|owners?|laws?|licen[cs]es?|interests?|statements?|protections?|and|or)\b|\s*[,.;]|$)"
+#: The number of a list item.
+ITEM = r"(^|\s)\(?[1-9][.)]\s"
 #: Lower-cased spellings that mean the same, as a pattern and what it becomes.
 SPELLINGS = (
     (r"\blicence", "license"),
@@ -92,13 +144,21 @@ SPELLINGS = (
 )
 
 
+def _openings() -> str:
+    """A pattern of the first words of every whole text and what follows them."""
+    words = (re.findall(r"[^\W_]+", text.lower())[:OPENING_WORDS] for text in TEXTS.values())
+    return r"\b(?:" + "|".join(sorted({" ".join(first) for first in words})) + r")\b.*$"
+
+
 def canonical(line: Column) -> Column:
     """One line in canonical form; lines become one text again with a blank between them."""
-    low = F.regexp_replace(F.lower(line), COPYRIGHT, "")
-    low = F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+    told = F.trim(F.lower(line))
+    words = F.regexp_replace(told, ITEM, "$1")
+    words = F.trim(F.regexp_replace(words, r"[^\p{L}\p{N}]+", " "))
     for pattern, spelling in SPELLINGS:
-        low = F.regexp_replace(low, pattern, spelling)
-    return low
+        words = F.regexp_replace(words, pattern, spelling)
+    stated = told.rlike(STATEMENT) & ~told.rlike(PROSE)
+    return F.when(stated, F.regexp_extract(words, _openings(), 0)).otherwise(words)
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -114,7 +174,13 @@ def _units(rows: DataFrame) -> DataFrame:
 def known_texts() -> list[tuple[str, str]]:
     """Identifier and text of every known licence and notice."""
     notices = [(i, notice.format(name=name)) for i, names in NAMES.items() for name in names for notice in NOTICES]
-    return notices + list(TEXTS.items())
+    titled = [
+        (i, title.format(name=name, id=i) + "\n" + text)
+        for i, text in TEXTS.items()
+        for name in NAMES[i]
+        for title in TITLES
+    ]
+    return notices + titled + list(TEXTS.items())
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -140,11 +206,16 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_canonical(line: str) -> str:
-    low = f"regexp_replace(lower({line}), {_sql_text(COPYRIGHT)}, '')"
-    low = rf"trim(regexp_replace({low}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    """The same rules in RE2: a statement is told by what may follow the word, in one test for each."""
+    told = f"trim(lower({line}))"
+    words = rf"regexp_replace({told}, '(^|\s)[(]?[1-9][.)]\s', '\1', 'g')"
+    words = rf"trim(regexp_replace({words}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for pattern, spelling in SPELLINGS:
-        low = f"regexp_replace({low}, {_sql_text(pattern)}, {_sql_text(spelling.replace('$', chr(92)))}, 'g')"
-    return low
+        words = f"regexp_replace({words}, {_sql_text(pattern)}, {_sql_text(spelling.replace('$', chr(92)))}, 'g')"
+    prose = r"^\s*copyright(\s+(notice|holder|owner|law|licen[cs]e|interest|statement|protection)s?\b|\s+(and|or)\b|\s*[,.;]|$)"
+    stated = rf"""((regexp_matches({told}, '^\s*([(]c[)]|©)') OR regexp_full_match({told}, '\s*all rights reserved\W*')
+        OR regexp_matches({told}, '^\s*copyright\b')) AND NOT regexp_matches({told}, '{prose}'))"""
+    return f"CASE WHEN {stated} THEN regexp_extract({words}, {_sql_text(_openings())}, 0) ELSE {words} END"
 
 
 def oracle() -> str:
