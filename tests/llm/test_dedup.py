@@ -160,3 +160,15 @@ def test_merging_components_equals_components_of_all_links(spark):
         want = {r["node"]: r["component"] for r in components(frames[0].unionByName(frames[1])).collect()}
         assert got == want
     assert merged(components(frames[0]), frames[1].limit(0)).count() == components(frames[0]).count()
+
+
+def test_dropping_keeps_columns_named_like_the_key(spark):
+    columns = f"{DOCS}, __key string, `__KEY_` int"
+    rows = [(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "g h i j k l", None, 3), (None, "", "z", 4)]
+    docs = spark.createDataFrame(rows, columns)
+    exact = exact_dedup.drop_exact(docs)
+    assert exact.dtypes == docs.dtypes
+    assert {tuple(r) for r in exact.collect()} == set(rows[1:])
+    near = minhash.drop_near(docs)
+    assert near.dtypes == docs.dtypes
+    assert {tuple(r) for r in near.collect()} == {rows[0], *rows[2:]}

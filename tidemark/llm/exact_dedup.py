@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import document_rows, null_safe
+from tidemark.llm.rows import document_rows, keep_rows
 from tidemark.operators.ordered import durable
 
 #: Share of the rows above which a digest is decided on the map side.
@@ -82,9 +82,5 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one id are two documents.
     """
     stays = exact_dedup(docs, id_col, text_col).filter("kept")
-    stays = stays.select(null_safe(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    digest = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256)
-    named = docs.withColumn("__key", null_safe(F.col(f"`{id_col}`").cast("bigint"), digest))
-    # One key for the join and for what repeats, so that the texts are shuffled once.
-    kept = named.join(stays, "__key", "left_semi").dropDuplicates(["__key"])
-    return kept.select(*[f"`{name}`" for name in docs.columns])
+    decided = stays.select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("digest"))
+    return keep_rows(docs, decided, id_col, text_col)

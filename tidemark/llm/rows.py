@@ -41,17 +41,25 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, lengthened until no column of ``df`` has that name in any case."""
+    taken = {name.lower() for name in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``decided(keep, digest)``, one row for each.
 
     Rows that repeat an id and a text are one document; two texts under one id are two. Ids
     may be null and match a null.
     """
-    key = null_safe(F.col(f"`{id_col}`").cast("bigint"), text_digest(F.col(f"`{text_col}`")))
-    named = docs.withColumn("__key", key)
-    chosen = decided.select(null_safe(F.col("keep"), F.col("digest")).alias("__key"))
+    key = free_name(docs, "__key")
+    named = docs.withColumn(key, null_safe(F.col(f"`{id_col}`").cast("bigint"), text_digest(F.col(f"`{text_col}`"))))
+    chosen = decided.select(null_safe(F.col("keep"), F.col("digest")).alias(key))
     # One key for the join and for what repeats, so that the texts are shuffled once.
-    kept = named.join(chosen, "__key", "left_semi").dropDuplicates(["__key"])
+    kept = named.join(chosen, key, "left_semi").dropDuplicates([key])
     return kept.select(*[f"`{name}`" for name in docs.columns])
 
 
