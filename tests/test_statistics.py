@@ -383,3 +383,38 @@ def test_pairs_without_a_shared_split_and_missing_metrics_are_refused(spark):
     metrics = spark.createDataFrame([("m", 0, "accuracy", 0.5)], "model string, fold int, metric string, value double")
     with pytest.raises(Exception, match="macro_f1"):
         uncertainty.fold_scores(metrics)
+
+
+def test_ranking_in_buckets_is_exact(spark, monkeypatch):
+    """Views cut into buckets and merged from runs give the areas of one sort, ties and absent classes included."""
+    rows = []
+    for i in range(3000):
+        p = [(i * 7919 % 97) / 97, (i * 104729 % 89) / 89, (i * 31 % 11) / 11]
+        rows.append(("m", i % 2, i // 2 % (3 if i % 2 else 2), p))
+    frame = spark.createDataFrame(rows, "model string, fold int, label int, probs array<double>")
+
+    def scores():
+        found = scoring.ranking_metrics(frame, ["model", "fold"], 3).orderBy("fold").collect()
+        return [(row["fold"], row["roc_auc_ovr_macro"], row["average_precision_macro"]) for row in found]
+
+    def plain(fold):
+        own = [(label, p) for _, f, label, p in rows if f == fold]
+        present = sorted({label for label, _ in own})
+        aucs, aps = [], []
+        for k in present:
+            share = [p[k] if len(present) == 3 else (p[k] / sum(p[j] for j in present) if sum(p[j] for j in present) else 0.5) for _, p in own]
+            pos = np.array([s for s, (label, _) in zip(share, own) if label == k])
+            neg = np.array([s for s, (label, _) in zip(share, own) if label != k])
+            if len(present) > 2 or k == present[1]:
+                aucs.append(((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / len(pos) / len(neg))
+            hits = np.array([p[k] for label, p in own if label == k])
+            every = np.array([p[k] for _, p in own])
+            aps.append(np.mean([(hits >= s).sum() / (every >= s).sum() for s in hits]))
+        return np.mean(aucs), np.mean(aps)
+
+    whole = scores()
+    monkeypatch.setattr(ranking, "BUCKET", 256)
+    monkeypatch.setattr(ranking, "PLACING", 128)
+    parted = scores()
+    for (fold, *one), (_, *other) in zip(whole, parted):
+        assert one == pytest.approx(plain(fold)) and other == pytest.approx(plain(fold))

@@ -11,7 +11,6 @@ from tidemark.catalog.base import (
     query,
     rounded,
     sql,
-    stored_predictions,
     window_predictions,
 )
 from tidemark.operators import scoring
@@ -194,19 +193,27 @@ def g4(spark, d):
     return rounded(table, "precision", "recall", "f1")
 
 
+SCORED = [*KEYS, "label", "prediction", "probs"]
+
+
+def scored_rows(spark, d):
+    """What scores are made of, stored: it is read more than once."""
+    return durable(predictions(spark, d).select(*SCORED))
+
+
 def _ranking(metric: str) -> str:
     return sql(f"SELECT {_KEYS}, floor(({metric}) * 1e6 + 0.5) / 1e6 AS {metric} FROM clip_ranks", "clip_ranks")
 
 
 @query("G5_roc_auc", _ranking("roc_auc_ovr_macro"))
 def g5(spark, d):
-    ranked = scoring.ranking_metrics(stored_predictions(spark, d), KEYS, K)
+    ranked = scoring.ranking_metrics(scored_rows(spark, d), KEYS, K)
     return rounded(ranked.drop("average_precision_macro"), "roc_auc_ovr_macro")
 
 
 @query("G6_average_precision", _ranking("average_precision_macro"))
 def g6(spark, d):
-    ranked = scoring.ranking_metrics(stored_predictions(spark, d), KEYS, K)
+    ranked = scoring.ranking_metrics(scored_rows(spark, d), KEYS, K)
     return rounded(ranked.drop("roc_auc_ovr_macro"), "average_precision_macro")
 
 
@@ -215,7 +222,7 @@ def g6(spark, d):
     sql(f"SELECT {_KEYS}, metric, floor((value) * 1e6 + 0.5) / 1e6 AS value FROM clip_metrics", "clip_metrics"),
 )
 def g7(spark, d):
-    return rounded(scoring.score_folds(stored_predictions(spark, d), SEGMENTS), "value")
+    return rounded(scoring.score_folds(scored_rows(spark, d), SEGMENTS), "value")
 
 
 @query(
@@ -223,10 +230,8 @@ def g7(spark, d):
     sql(f"SELECT {_KEYS}, metric, floor((value) * 1e6 + 0.5) / 1e6 AS value FROM window_metrics", "window_metrics"),
 )
 def g7_windows(spark, d):
-    windows = durable(window_predictions(spark, d)).withColumn(
-        "prediction", scoring.predicted_class(F.col("probs"))
-    )
-    return rounded(scoring.score_folds(windows, SEGMENTS), "value")
+    marked = window_predictions(spark, d).withColumn("prediction", scoring.predicted_class(F.col("probs")))
+    return rounded(scoring.score_folds(durable(marked.select(*SCORED)), SEGMENTS), "value")
 
 
 @query(
