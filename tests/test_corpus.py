@@ -395,3 +395,14 @@ def test_tallies_of_group_plans_equal_counting_every_split(spark):
                 want_weights[r, f, k] = len(train) / (4 * labels[k]) if labels[k] else 0.0
     assert got == want
     assert weights == pytest.approx(want_weights)
+
+
+def test_uncovered_items_are_counted_where_the_item_is(spark):
+    items = spark.createDataFrame([(i,) for i in range(1, 5)], "item_id bigint")
+    whole = [(1, r, f) for r in range(2) for f in range(2)]
+    rows = [*whole, *[(2, r, f) for _, r, f in whole[:3]], *[(3, 0, 0)] * 4, (9, 0, 1)]
+    folds = spark.createDataFrame(rows, "item_id bigint, repeat int, fold int")
+    found = splits.uncovered_items(items, folds, 4)
+    assert {tuple(row) for row in found.collect()} == {(2, 3, 3), (3, 4, 1), (4, 0, 0), (9, 1, 1)}
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
