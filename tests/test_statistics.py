@@ -418,3 +418,28 @@ def test_ranking_in_buckets_is_exact(spark, monkeypatch):
     parted = scores()
     for (fold, *one), (_, *other) in zip(whole, parted):
         assert one == pytest.approx(plain(fold)) and other == pytest.approx(plain(fold))
+
+
+def test_quantiles_that_recur_are_found_once(monkeypatch):
+    asked = []
+    whole = student.tail
+    monkeypatch.setattr(student, "tail", lambda t, v: asked.append(len(t)) or whole(t, v))
+    p, v = np.tile([0.5, 0.6, 0.975], 100), np.tile([2.0, 4.0, 14.0], 100)
+    found = student.quantile(p, v)
+    assert max(asked) == 3
+    assert found[:3] == pytest.approx([0.0, 0.2707223, 2.1447867]) and (found.reshape(-1, 3) == found[:3]).all()
+
+
+def test_fraction_has_the_terms_it_needs():
+    t = np.linspace(0.01, 30, 500)
+    for v in (1.0, 2.0, 14.0, 40.0, 400.0, 1500.0):
+        a, x = np.full(len(t), v / 2), v / (v + t * t)
+        near = x <= (a + 1) / (a + 2.5)
+        a, x = np.append(a[near], 0.5), np.append(x[near], 0.4 / (1 + v))
+        b = np.append(np.full(near.sum(), 0.5), v / 2)
+        value = np.zeros_like(x)
+        for m in range(600, 0, -1):
+            half = m // 2
+            step = half * (b - half) * x if m % 2 == 0 else -(a + half) * (a + b + half) * x
+            value = step / ((a + m - 1) * (a + m)) / (1.0 + value)
+        assert student._fraction(a, b, x) == pytest.approx(1 / (1 + value), rel=1e-13)
