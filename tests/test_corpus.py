@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import parameters
 from tidemark.errors import FamilyError, IdentityError, SplitError, VocabularyError
 from tidemark.functions.notes import Vocabulary, leading_code, tag_note
-from tidemark.operators import collection, context, controls, families, notes, splits, tasks
+from tidemark.operators import collection, context, controls, families, notes, splits, tables, tasks
 from tidemark.operators.items import check_items, parse_identity, strict
 from tidemark.operators.joins import lookup
 from tidemark.operators.ordered import Ordered, with_position
@@ -406,3 +406,19 @@ def test_uncovered_items_are_counted_where_the_item_is(spark):
     assert {tuple(row) for row in found.collect()} == {(2, 3, 3), (3, 4, 1), (4, 0, 0), (9, 1, 1)}
     plan = found._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_ambiguity_counts_an_item_once_for_each_model(spark):
+    """Items of a slice are distinct however many splits a model has, and models do not share them."""
+    rows = [(m, r, i % 2, i, i % 3, (i + r) % 3) for m, n in (("a", 3), ("b", 1)) for r in range(n) for i in range(12)]
+    frame = spark.createDataFrame(rows, "model string, repeat int, fold int, item_id bigint, label int, prediction int")
+    named = spark.createDataFrame(
+        [(i, "site", "unique" if i < 4 else "shared") for i in range(12)], "item_id bigint, field string, outcome string"
+    )
+    found = {(x["model"], x["subset"]): (x["items"], x["folds"]) for x in tables.ambiguity(frame, named, 3).collect()}
+    assert found == {
+        ("a", "site unique to a class"): (4, 6),
+        ("a", "site shared by classes"): (8, 6),
+        ("b", "site unique to a class"): (4, 2),
+        ("b", "site shared by classes"): (8, 2),
+    }
