@@ -443,3 +443,24 @@ def test_fraction_has_the_terms_it_needs():
             step = half * (b - half) * x if m % 2 == 0 else -(a + half) * (a + b + half) * x
             value = step / ((a + m - 1) * (a + m)) / (1.0 + value)
         assert student._fraction(a, b, x) == pytest.approx(1 / (1 + value), rel=1e-13)
+
+
+@pytest.mark.parametrize("groups", [40_000, 150_000])
+def test_draws_of_many_groups_are_the_digests_of_their_numbers(groups):
+    """As the oracle has it: draw d of resample b is a digest of 65536 b + d, however many groups there are."""
+    resamples, seed = 4, 7
+    salt = int(resampling.finish(np.array([seed * resampling.SEEDED & 0xFFFFFFFF], dtype=np.uint32))[0])
+    times = resampling.group_times(groups, 0, resamples, resamples, seed)
+    for b in range(resamples):
+        x = ((b * 65536 + np.arange(groups, dtype=np.uint64)) & 0xFFFFFFFF) ^ salt
+        for shift, factor in ((16, resampling.FIRST), (13, resampling.SECOND)):
+            x = ((x ^ (x >> shift)) * factor) & 0xFFFFFFFF
+        assert (times[b] == np.bincount(((x ^ (x >> 16)) % groups).astype(int), minlength=groups)).all()
+    draw = np.random.default_rng(4)
+    rows = {"draw": np.arange(groups), "cell": draw.integers(0, 5, groups), "n": draw.integers(1, 4, groups)}
+    got = np.zeros((resamples, 5), int)
+    table = pa.table({**rows, **{k: np.full(groups, v) for k, v in (("slice", 0), ("groups", groups), ("block", 0), ("first", 0))}})
+    for r in resampling._summed(resamples, seed)(table).to_pylist():
+        got[r["resample"], r["cell"]] += r["n"]
+    for b in range(resamples):
+        assert (got[b] == np.bincount(rows["cell"], weights=times[b] * rows["n"], minlength=5)).all()
