@@ -464,3 +464,29 @@ def test_draws_of_many_groups_are_the_digests_of_their_numbers(groups):
         got[r["resample"], r["cell"]] += r["n"]
     for b in range(resamples):
         assert (got[b] == np.bincount(rows["cell"], weights=times[b] * rows["n"], minlength=5)).all()
+
+
+@pytest.mark.parametrize("metric", [ranking.AUC_NAME, ranking.AP_NAME])
+def test_chunks_of_a_batch_share_their_draws(monkeypatch, metric):
+    """The resamples are drawn once a batch, and pairs between its chunks are counted."""
+    draw = np.random.default_rng(6)
+    groups, n, per = 30, 400, 100
+    unit, pos = draw.integers(0, groups, n).astype(np.int32), draw.integers(0, 3, n)
+    neg, ends = draw.integers(0, 2, n) + (pos == 0), np.arange(4, per + 1, 4).astype(np.int32)
+    rows = [
+        {"view": 0, "k": 0, "seq": at, "unit": unit[low : low + per], "pos": pos[low : low + per], "neg": neg[low : low + per],
+         "ends": ends, "groups": groups, "resamples": np.arange(50, dtype=np.int32)}
+        for at, low in enumerate(range(0, n, per))
+    ]
+    batch = pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in r.items()} for r in rows])
+    asked, whole = [], ranking.resample_slices
+    monkeypatch.setattr(ranking, "resample_slices", lambda *a: asked.append(a) or whole(*a))
+    found = [r for part in ranking._sums(ranking.Draws(50, 3), metric)(iter([batch])) for r in part.to_pylist()]
+    assert len(asked) == 1 and len(found) == (50 if metric == ranking.AUC_NAME else 200)
+    times = resampling.group_times(groups, 0, 50, 50, 3)
+    for b in range(50):
+        p, q = ((times[b][unit] * x).reshape(-1, 4).sum(axis=1) for x in (pos, neg))
+        own = [r for r in found if r["resample"] == b]
+        assert (sum(r["pos"] for r in own), sum(r["neg"] for r in own)) == (p.sum(), q.sum())
+        if metric == ranking.AUC_NAME:
+            assert own[0]["won"] == (q * (np.cumsum(p) - p / 2)).sum()
