@@ -490,3 +490,15 @@ def test_chunks_of_a_batch_share_their_draws(monkeypatch, metric):
         assert (sum(r["pos"] for r in own), sum(r["neg"] for r in own)) == (p.sum(), q.sum())
         if metric == ranking.AUC_NAME:
             assert own[0]["won"] == (q * (np.cumsum(p) - p / 2)).sum()
+
+
+def test_leaking_groups_sort_parts_and_not_items(spark):
+    from tidemark.operators.splits import leaking_groups
+
+    rows = [(0, f, g, p) for f in (0, 1) for g in range(6) for p in ["train"] * 5 + ["test"] * (g == 3 and f)] + [(0, 0, 9, None)]
+    folds = spark.createDataFrame(rows, "repeat int, fold int, group_id long, part string")
+    found = leaking_groups(folds)
+    assert [tuple(r) for r in found.collect()] == [(0, 1, 3, "test", "train")]
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    # The aggregate next to the rows is one of hashes.
+    assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]
