@@ -109,3 +109,18 @@ def test_report_scores_each_family_over_its_own_classes(spark):
     margins = {r["family"]: r["margin"] for r in built["margin_over_control"].collect()}
     assert margins["g"] == pytest.approx(margins["f"] / 2)
     assert tables.fold_metrics(frame, known).filter("metric = 'macro_f1'").count() == 4 * 10
+
+
+def test_classes_of_families_meet_counts_and_not_predictions(spark, monkeypatch):
+    from tidemark.operators import tables
+
+    counted, whole = [], tables.confusion_counts
+    monkeypatch.setattr(tables, "confusion_counts", lambda rows, keys: counted.append(rows) or whole(rows, keys))
+    rows = [(m, 0, f, i % 2, (i + (m == "b" and i < 2)) % 2) for m in "abc" for f in (0, 1) for i in range(8)]
+    predictions = spark.createDataFrame(rows, "model string, repeat int, fold int, label int, prediction int")
+    known = [("one", "a", ["x", "y"]), ("one", "b", ["x", "y"]), ("two", "a", ["x", "y", "z"])]
+    families = spark.createDataFrame(known, "family string, model string, classes array<string>")
+    found = tables.fold_metrics(predictions, families).filter("metric = 'macro_f1' and fold = 1").collect()
+    got = {(r["family"], r["model"]): r["value"] for r in found}
+    assert got == {("one", "a"): 1.0, ("one", "b"): pytest.approx(0.75), ("two", "a"): pytest.approx(2 / 3)}
+    assert len(counted) == 1 and "Join" not in counted[0]._jdf.queryExecution().analyzed().toString()
