@@ -502,3 +502,15 @@ def test_leaking_groups_sort_parts_and_not_items(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
     # The aggregate next to the rows is one of hashes.
     assert "HashAggregate" in [line for line in plan if "Aggregate" in line][-1]
+
+
+def test_draws_of_a_task_do_not_grow_with_the_groups(monkeypatch):
+    made, whole = [], resampling.drawn
+    monkeypatch.setattr(resampling, "drawn", lambda a, b, g, seed: made.append(b - a) or whole(a, b, g, seed))
+    asked = []
+    for groups in (150_000, 600_000):
+        one = {"slice": 0, "groups": groups, "draw": 5, "cell": 1, "n": 1, "block": 0, "first": 0}
+        resampling._summed(40, 7)(pa.Table.from_pylist([one]))
+        asked.append(sum(made))
+        made.clear()
+    assert max(asked) <= 2 * (40 + 10) * resampling.STRIDE
