@@ -172,3 +172,38 @@ def test_dropping_keeps_columns_named_like_the_key(spark):
     near = minhash.drop_near(docs)
     assert near.dtypes == docs.dtypes
     assert {tuple(r) for r in near.collect()} == {rows[0], *rows[2:]}
+
+
+def test_a_crowded_bucket_takes_no_more_tasks_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SHARE", 16)
+    draw = random.Random(8)
+    sets = [sorted(draw.sample(range(12), draw.randrange(8, 12))) for _ in range(400)]
+    # One bucket of 400 candidates of three components, and one of two.
+    rows = [(0, 7, n, len(s), [0] * 8, n % 3, len(s), [7], s) for n, s in enumerate(sets)]
+    rows += [(0, 8, n, 9, [0] * 8, n, 9, [8], list(range(9))) for n in (900, 901)]
+    kinds = "band int, key bigint, node bigint, n_shingles bigint, bits array<bigint>, component bigint, common bigint"
+    table = spark.createDataFrame(rows, f"{kinds}, bands array<bigint>, shingles array<bigint>")
+    want = {(900, 901)}
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            shared = len(set(x) & set(y))
+            if a % 3 != b % 3 and 100 * shared >= 80 * (len(x) + len(y) - shared):
+                want.add((a, b))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    }
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        links = minhash._crossing_links(minhash._blocked(table.repartition(16, "node")), 0.0, 80)
+        got = [(r["a"], r["b"]) for r in links.collect()]
+        tasks = links.rdd.getNumPartitions()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert tasks <= 8

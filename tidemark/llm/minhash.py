@@ -43,6 +43,8 @@ MINIMA = BANDS * ROWS
 MARGIN = 0.15
 #: Buckets up to this many classes are paired in full before the first components.
 SMALL = 16
+#: A bucket of n candidates is cut into about the root of n / SHARE blocks.
+SHARE = 256
 
 _draw = np.random.default_rng(5)
 _FACTORS = _draw.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -253,13 +255,23 @@ def _placed(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
         .filter(100 * F.col("common") >= percent * F.col("n_shingles"))
     )
-    bounded = durable(
-        bounded.select("band", "key", "node", "n_shingles", "bits", "component", "common")
-    ).join(classes.select("node", F.col("sketch.bands").alias("bands")), "node")
-    second = _crossing_links(bounded.join(sets, "node"), floor, percent)
+    bounded = durable(bounded.select("band", "key", "node", "n_shingles", "bits", "component", "common"))
+    blocked = _blocked(bounded).join(classes.select("node", F.col("sketch.bands").alias("bands")), "node")
+    second = _crossing_links(blocked.join(sets, "node"), floor, percent)
     return merged(placed, durable(second.distinct()))
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Add ``blocks``, into how many its bucket is cut, and ``block``, which of them a row is in.
+
+    The number grows with the root of the bucket's rows: so does how often a row is copied.
+    """
+    blocks = F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(SHARE))).cast("int")
+    crowded = rows.groupBy("band", "key").agg(blocks.alias("blocks")).filter("blocks > 1")
+    cut = rows.join(crowded, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return cut.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+
+
 def _same_bucket() -> Column:
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
     return met & (F.col("x.node") < F.col("y.node"))
@@ -277,9 +289,15 @@ def _crossing_links(rows: DataFrame, floor: float, percent: int) -> DataFrame:
 
     All of it is the join's condition, so only links are ever rows: the bound from common
     shingles and the estimate first, then whether this is the first band the two share,
-    and the full sets last.
+    and the full sets last. Two blocks of a bucket meet in one task. They are dealt out here, as
+    a join that Spark splits by itself takes a task for each two pieces of a large bucket, and
+    the driver keeps account of them all.
     """
-    x, y = rows.alias("x"), rows.alias("y")
+    place = ["band", "key", "low", "high"]
+    last = F.col("blocks") - 1
+    x = rows.withColumns({"low": F.col("block"), "high": F.explode(F.sequence("block", last))})
+    y = rows.withColumns({"low": F.explode(F.sequence(F.lit(0), "block")), "high": F.col("block")})
+    x, y = x.repartition(*place).alias("x"), y.repartition(*place).alias("y")
     least = F.least("x.common", "y.common")
     n_x, n_y = F.col("x.n_shingles"), F.col("y.n_shingles")
     hopeful = F.col("x.component") != F.col("y.component")
@@ -289,8 +307,13 @@ def _crossing_links(rows: DataFrame, floor: float, percent: int) -> DataFrame:
     first_met = F.array_position(equal, F.lit(True)) == F.col("x.band") + 1
     shared = F.size(F.array_intersect("x.shingles", "y.shingles"))
     linked = F.when(hopeful, F.when(first_met, _reaches(shared, n_x, n_y, percent)))
-    met = _same_bucket() & F.coalesce(linked, F.lit(False))
-    return x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = F.lit(True)
+    for name in place:
+        met = met & (F.col(f"x.{name}") == F.col(f"y.{name}"))
+    # Inside a block each two rows would meet twice.
+    once = (F.col("x.low") < F.col("x.high")) | (F.col("x.node") < F.col("y.node"))
+    links = x.join(y, met & once & F.coalesce(linked, F.lit(False)))
+    return links.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
