@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.errors import ExtractionIncomplete, SplitError
-from tidemark.operators import boosting, models, probes
+from tidemark.operators import boosting, models, probes, tasks
 from tidemark.parameters import Split
 from tidemark.plans import crossval
 
@@ -204,3 +204,27 @@ def test_boosting_stops_each_split_on_its_validation_rows_and_is_repeatable(spar
     assert done[0]["summary"].filter("metric = 'macro_f1'").head()["mean"] > 0.4
     gains = models.feature_importance(spark, done[0]["fitted"], ["a", "b", "c", "still"]).collect()
     assert all(r["gain"] == 0 for r in gains if r["feature"] == "still") and any(r["gain"] > 0 for r in gains)
+
+
+def test_probes_look_up_the_parts_once(spark, monkeypatch):
+    scanned, fit = [], probes.fit_probes
+    monkeypatch.setattr(probes, "fit_probes", lambda rows, *more: scanned.append(rows) or fit(rows, *more))
+    draw = random.Random(2)
+    rows = [(f"i{i}", f"g{i // 2}", f"c{i // 2 % 2}", i // 2 % 2, 0, [draw.random(), draw.random()]) for i in range(60)]
+    kinds = "item_id string, group_id string, class string, label int, window_index int, features array<double>"
+    windows = spark.createDataFrame(rows, kinds)
+    crossval.cross_validate(windows, ["c0", "c1"], models.fit_probe((0.1,)), Split(n_folds=3), "probe", ranking=False)
+    # A step reads a table that has the parts; the plan's map is not taken apart again.
+    read = scanned[0].select("features", "label", probes.PARTS)
+    assert models.PLAN not in read._jdf.queryExecution().optimizedPlan().toString().split("Relation [")[0]
+
+
+def test_a_task_parses_its_notes_once(spark):
+    known = "item_id string, call_a boolean, call_b boolean, site string, lat double, lon double, code string, cond_x boolean"
+    notes = spark.createDataFrame([("i1", True, False, "s", 1.0, 2.0, "c", True)], known)
+    items = spark.createDataFrame([("i1", "en", True, 3.0), ("i2", "en", True, 4.0)], "item_id string, class string, keep boolean, duration double")
+    found = tasks.task_items(items, notes, "en")
+    assert found._jdf.queryExecution().analyzed().toString().count("Join ") == 1
+    assert sorted((r["item_id"], r["call_a"], r["site"], r["cond_x"]) for r in found.collect()) == [
+        ("i1", True, "s", True), ("i2", None, None, None),
+    ]

@@ -380,22 +380,21 @@ for _name, _old, _new in (("ranked_groups", "kept", "task_rows"), ("group_folds"
 def k10_run(spark, d):
     """A tag's model and its control, fitted on the same splits, committed and read back."""
     root = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
-    chars = table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("item_id"), F.col("n_chars").alias("bytes"), "text"
+    things = document_items(spark, d, F.col("n_chars").alias("bytes")).withColumns(
+        {"native_rate": F.col("bytes") % 7, "year": F.lit(2000) + F.col("item_id").cast("int") % 5}
     )
-    facts = chars.withColumns({"native_rate": F.col("bytes") % 7, "year": F.lit(2000) + F.col("item_id").cast("int") % 5})
-    things = document_items(spark, d).join(facts.drop("text"), "item_id")
     share = [
         (F.length("text") - F.length(F.replace("text", F.lit(x)))) / F.greatest(F.length("text"), F.lit(1)) for x in "aehrt"
     ]
     last = (F.col("item_id").cast("bigint") % 2).cast("int")
     windows = (
-        document_items(spark, d)
-        .join(chars.select("item_id", F.array(*share).alias("features")), "item_id")
+        document_items(spark, d, F.array(*share).alias("features"))
+        .filter("class = 'en'")
         .select("item_id", "group_id", "class", "features", F.explode(F.sequence(F.lit(0), last)).alias("window_index"))
     )
+    told = annotated(spark, d).filter("class = 'en'")
     models_ = tagtask.run_task(
-        windows.withColumn("label", F.lit(0)), things, annotated(spark, d), "en", "ther", VOCABULARY, TASK_SPLIT,
+        windows.withColumn("label", F.lit(0)), things, told, "en", "ther", VOCABULARY, TASK_SPLIT,
         root, "documents", fit_probe((0.1,)), fit_probe((0.1,)),
     )
     told = sets.read_sets(spark, root, "predictions", config="documents", models=models_)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import TaskError
 from tidemark.functions.notes import TAG_PREFIX, Vocabulary
 from tidemark.operators.notes import (
-    attach_context,
+    context_columns,
     items_with_notes,
     tag_columns,
     within_guard,
@@ -23,8 +23,9 @@ def task_items(
 ) -> DataFrame:
     """Kept items of one class with every tag and the recording context."""
     chosen = items.filter(F.col("keep") & (F.col("class") == class_name))
-    tagged = items_with_notes(chosen, notes, *tag_columns(notes))
-    return within_guard(attach_context(tagged, notes), max_seconds)
+    # One join, so that the notes are parsed once.
+    tagged = items_with_notes(chosen, notes, *tag_columns(notes), *context_columns(notes))
+    return within_guard(tagged, max_seconds)
 
 
 def require_items(df: DataFrame, what: str) -> DataFrame:

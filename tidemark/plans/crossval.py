@@ -41,9 +41,10 @@ def planned_windows(
     """
     if kept is not None:
         extract_complete(kept, windows)
-    folds = durable(folds_for(windows, split)) if folds is None else folds
-    check_folds(items_from_windows(windows), folds, split.repeats * split.n_folds)
-    return folds, models.with_plan(windows, folds)
+    items = durable(items_from_windows(windows))
+    folds = durable(folds_for(items, split)) if folds is None else folds
+    check_folds(items, folds, split.repeats * split.n_folds)
+    return folds, models.with_plan(windows, folds, fold_pairs(split))
 
 
 def cross_validate(

@@ -39,16 +39,17 @@ def run_task(
     """
     guard = vocabulary.guards.get(tag)
     name = f"calltype_{class_name.lower()}_{tag}"
-    labelled = durable(require_items(task_items(items, notes, class_name, guard), name))
+    labelled = require_items(durable(task_items(items, notes, class_name, guard)), name)
     subset = relabel_windows(windows, labelled, tag, guard)
     done = cross_validate(subset, CLASSES, fit, split, name, ranking=False)
     facts = {"class": class_name, "tag": tag, "max_seconds": guard}
     save_result(done, root, config, name, CLASSES, facts)
     if not with_control:
         return [name]
-    heard = subset.groupBy("item_id").agg(F.first("label").alias("label"), F.first("class").alias("class"))
+    # Each item is in each split once.
+    heard = done["folds"].filter("repeat = 0 and fold = 0").select("item_id", "label", "class")
     context = controls.logbook_matrix(labelled.drop("label", "class").join(heard, "item_id"))
-    paper = context.select("item_id", "group_id", "class", "label", F.lit(0).alias("window_index"), "features")
+    paper = durable(context.select("item_id", "group_id", "class", "label", F.lit(0).alias("window_index"), "features"))
     control = f"{name}_context"
     floor = cross_validate(paper, CLASSES, control_fit, split, control, ranking=False, folds=done["folds"])
     save_result(floor, root, config, control, CLASSES, facts)
