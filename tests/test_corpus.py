@@ -408,6 +408,16 @@ def test_uncovered_items_are_counted_where_the_item_is(spark):
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_plans_of_all_groups_are_not_broadcast(spark):
+    """Only those of the heaviest groups are: a group has a row for each split in its plan."""
+    n = F.col("id")
+    items = spark.range(400).select(n.alias("item_id"), (n % 40).alias("group_id"), (n % 4).cast("int").alias("label"))
+    parts = splits.item_parts(items, n_folds=5, repeats=3)
+    plan = parts._jdf.queryExecution().sparkPlan().toString()
+    assert [line.strip("+-: ").split()[0] for line in plan.splitlines() if "Join" in line] == ["SortMergeJoin", "BroadcastHashJoin"]
+    assert parts.count() == 400 * 15 and splits.uncovered_items(items, parts, 15).count() == 0
+
+
 def test_ambiguity_counts_an_item_once_for_each_model(spark):
     """Items of a slice are distinct however many splits a model has, and models do not share them."""
     rows = [(m, r, i % 2, i, i % 3, (i + r) % 3) for m, n in (("a", 3), ("b", 1)) for r in range(n) for i in range(12)]
