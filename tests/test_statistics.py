@@ -514,3 +514,46 @@ def test_draws_of_a_task_do_not_grow_with_the_groups(monkeypatch):
         asked.append(sum(made))
         made.clear()
     assert max(asked) <= 2 * (40 + 10) * resampling.STRIDE
+
+
+def test_resamples_of_many_groups_share_no_draws():
+    """Draw d of resample b is a digest of its own number of 64 bits, as the oracle of U7 and U11 has it."""
+    groups, seed, resamples = 150_000, 7, 3
+    times = resampling.group_times(groups, 0, resamples, resamples, seed, True)
+    for b in range(resamples):
+        first = [next(resampling.own_draws(b, groups, seed))[d] for d in (0, 1, 9999)]
+        for d, drawn in zip((0, 1, 9999), first):
+            x = ((b << 32) + d) ^ resampling.wide_salt(seed)
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+            assert drawn == (((x ^ (x >> 31)) >> 32) * groups) >> 32
+    assert (times.sum(axis=1) == groups).all() and times.var(axis=1) == pytest.approx(1, abs=0.02)
+    assert np.corrcoef(times) == pytest.approx(np.eye(resamples), abs=0.01)
+    # Blocks of two slices summed in one task, each to its own cells.
+    draw = np.random.default_rng(4)
+    rows = {
+        "slice": np.repeat([4, 9], groups), "draw": np.tile(np.arange(groups), 2),
+        "cell": draw.integers(0, 5, 2 * groups), "n": draw.integers(1, 4, 2 * groups),
+    }
+    table = pa.table({**rows, **{k: np.full(2 * groups, v) for k, v in (("groups", groups), ("block", 0), ("first", 0))}})
+    got = {(r["slice"], r["resample"], r["cell"]): r["n"] for r in resampling._summed(resamples, seed, True)(table).to_pylist()}
+    for own in (4, 9):
+        at = rows["slice"] == own
+        for b in range(resamples):
+            want = np.bincount(rows["cell"][at], weights=times[b] * rows["n"][at], minlength=5)
+            assert [got[own, b, k] for k in range(5)] == want.tolist()
+
+
+@pytest.mark.parametrize("most, levels", [(1, 5000), (1, 40), (3, 300), (500, 300)])
+def test_pairs_are_those_of_plain_sums(most, levels):
+    """With ties, with rows that count more than once, and past what two bytes hold."""
+    draw = np.random.default_rng(most)
+    n, groups = 5000, 70
+    score = np.sort(draw.integers(0, levels, n))
+    ends = np.flatnonzero(np.append(np.diff(score), 1)) + 1
+    unit, pos, neg = draw.integers(0, groups, n).astype(np.int32), draw.integers(0, most + 1, n), draw.integers(0, most + 1, n)
+    times = resampling.group_times(groups, 0, 30, 30, 1).astype(np.uint8)
+    found = ranking._Pairs(unit, pos, neg, ends).sums(np.ascontiguousarray(times.T), int(times.max()))
+    for b, row in enumerate(times):
+        p, q = (np.add.reduceat(row[unit].astype(int) * x, np.append(0, ends[:-1])) for x in (pos, neg))
+        assert [x[b] for x in found] == [(q * (np.cumsum(p) - p / 2)).sum(), p.sum(), q.sum()]
