@@ -544,6 +544,14 @@ def test_resamples_of_many_groups_share_no_draws():
             assert [got[own, b, k] for k in range(5)] == want.tolist()
 
 
+def test_bootstrap_draws_its_own_unless_told_to_share(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(uncertainty, "resampled_counts", lambda *a: told.append(a[3]) or resampling.resampled_counts(*a))
+    for settings in ({}, {"shared": True}):
+        uncertainty.cluster_bootstrap(bootstrap_rows(spark), 2, resamples=4, **settings).collect()
+    assert told == [True, False] and ranking.Draws(4, 1).own
+
+
 @pytest.mark.parametrize("most, levels", [(1, 5000), (1, 40), (3, 300), (500, 300)])
 def test_pairs_are_those_of_plain_sums(most, levels):
     """With ties, with rows that count more than once, and past what two bytes hold."""
