@@ -565,3 +565,16 @@ def test_pairs_are_those_of_plain_sums(most, levels):
     for b, row in enumerate(times):
         p, q = (np.add.reduceat(row[unit].astype(int) * x, np.append(0, ends[:-1])) for x in (pos, neg))
         assert [x[b] for x in found] == [(q * (np.cumsum(p) - p / 2)).sum(), p.sum(), q.sum()]
+
+
+def test_runs_keep_scores_as_steps():
+    """Any falling scores come back as they were, and those of a grid take few bytes."""
+    draw = np.random.default_rng(3)
+    odd = np.array([np.inf, 1e300, 1.0, 5e-324, 0.0, -5e-324, -2.5, -np.inf])
+    grid = np.unique(draw.integers(0, 1 << 20, 8000))[::-1] / (1 << 20)
+    for score in (odd, odd[:1], grid, np.sort(draw.normal(size=500))[::-1].copy()):
+        assert ranking._heard_scores(ranking._told_scores(score)).tolist() == score.tolist()
+    assert len(ranking._told_scores(grid)) < 2.5 * len(grid)
+    for counts in (np.zeros(5, np.int64), np.arange(400), draw.integers(0, 2, 8000)):
+        assert ranking._heard(ranking._told(counts), len(counts)).tolist() == counts.tolist()
+    assert len(ranking._told(draw.integers(0, 2, 8000))) < 2000
