@@ -578,3 +578,17 @@ def test_runs_keep_scores_as_steps():
     for counts in (np.zeros(5, np.int64), np.arange(400), draw.integers(0, 2, 8000)):
         assert ranking._heard(ranking._told(counts), len(counts)).tolist() == counts.tolist()
     assert len(ranking._told(draw.integers(0, 2, 8000))) < 2000
+
+
+def test_rows_of_many_blocks_are_not_sent_for_each_part(spark):
+    """A block is summed by few tasks where blocks are many, so its rows are sent few times."""
+    block = resampling.BLOCK
+    assert [-(-2000 // resampling.part_size(n * block, 2000)) for n in (1, 4, 16, 17, 32, 200)] == [8, 8, 2, 1, 1, 1]
+    rows = [(0, 40 * block, 7, 1, 1), (1, 3, 2, 1, 1)]
+    cells = spark.createDataFrame(rows, "slice long, groups long, draw long, cell long, n long")
+    counted = resampling.resampled_counts(cells, 500, 1)
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(0, 499" in plan
+    sent = {r["slice"]: r["n"] for r in counted.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+    times = [resampling.group_times(3, 0, 500, 500, 1)[:, 2].sum(), 500]
+    assert sent[1] == times[0] and abs(sent[0] - times[1]) < 150
