@@ -231,7 +231,7 @@ def g7(spark, d):
 )
 def g7_windows(spark, d):
     marked = window_predictions(spark, d).withColumn("prediction", scoring.predicted_class(F.col("probs")))
-    return rounded(scoring.score_folds(durable(marked.select(*SCORED)), SEGMENTS), "value")
+    return rounded(scoring.score_folds(durable(marked.select(*SCORED), "zstd"), SEGMENTS), "value")
 
 
 @query(
